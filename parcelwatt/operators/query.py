@@ -90,8 +90,9 @@ def sample_hash(df: DataFrame, n: int, seed: int = 42, key: str = "pnu") -> Data
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
-def overlay(centroids: DataFrame, results: DataFrame, buildings: DataFrame, kind: str, bbox, n: int = 5000, seed: int = 42) -> DataFrame:
-    """Map points inside ``bbox``: ``co2``, ``zeb`` or ``hourly`` (daily EUI), sampled to ``n``."""
+def overlay(centroids: DataFrame, results: DataFrame, buildings: DataFrame, kind: str, bbox, n: int | None = 5000, seed: int = 42) -> DataFrame:
+    """Map points inside ``bbox``: ``co2``, ``zeb`` or ``hourly`` (daily EUI), sampled to ``n`` (None: all)."""
+    pick = lambda df: df if n is None else sample_hash(df, n, seed)
     west, south, east, north = geo.check_bbox(bbox)
     points = centroids.filter(geo.in_bbox(F.col("lng"), F.col("lat"), west, south, east, north))
     current = results.filter("is_current")
@@ -99,7 +100,7 @@ def overlay(centroids: DataFrame, results: DataFrame, buildings: DataFrame, kind
         df = points.join(current.filter("co2_kg_m2 IS NOT NULL"), "pnu").select(
             "pnu", "lng", "lat", half_up(F.col("co2_kg_m2"), 1).alias("co2"), half_up(F.col("primary_energy_kwh_m2"), 1).alias("pe")
         )
-        return sample_hash(df, n, seed)
+        return pick(df)
     one = distinct_on(buildings, ["pnu"], [F.col("gid")]).select("pnu", "usage_type", "total_area")
     joined = points.join(current.filter("total_energy > 0"), "pnu").join(one, "pnu")
     value = eui(F.col("total_energy"), F.col("total_area"), F.col("simulation_type"))
@@ -109,7 +110,7 @@ def overlay(centroids: DataFrame, results: DataFrame, buildings: DataFrame, kind
         df = joined.select("pnu", "lng", "lat", half_up(value / 365.0, 3).alias("eui_daily"), F.coalesce("usage_type", F.lit("기타")).alias("usage_type"))
     else:
         raise ValueError("kind must be co2, zeb or hourly")
-    return sample_hash(df, n, seed)
+    return pick(df)
 
 
 def retrofit_priority(buildings: DataFrame, results: DataFrame, limit: int = 20, sigungu: str | None = None,
