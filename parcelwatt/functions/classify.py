@@ -33,7 +33,13 @@ MAX_HEIGHT = 650.0
 
 
 def literal_map(mapping: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    """A constant map column from a plain dictionary of texts and numbers."""
+    def text(v) -> str:
+        if isinstance(v, str):
+            return "'" + v.replace("'", "\\'") + "'"
+        return f"{v!r}D" if isinstance(v, float) else repr(v)
+
+    return F.expr("map(" + ", ".join(f"{text(k)}, {text(v)}" for k, v in mapping.items()) + ")")
 
 
 def vintage(year: Column, unknown: str = "1980-2000") -> Column:

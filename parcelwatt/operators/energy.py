@@ -102,17 +102,17 @@ def city_ratio(spark, reference: str = "seoul") -> DataFrame:
     )
 
 
-def _bounded_lookup(lookup: DataFrame) -> DataFrame:
-    """One row per known archetype, vintage and city: at most 14 x 5 x 10, so safe to broadcast."""
-    cities = sorted(set(V.CITY_BY_PREFIX.values()))
-    return (
-        lookup.filter(
-            F.col("archetype").isin(*V.ARCHETYPE_AREA)
-            & F.col("vintage").isin("pre1990", "1991_2000", "2001_2010", "2011_2017", "2018_plus")
-            & F.col("city").isin(*cities)
-        )
-        .groupBy("archetype", F.col("vintage").alias("vintage5"), "city")
-        .agg(F.max("median").alias("median"))
+CITIES = tuple(sorted(set(V.CITY_BY_PREFIX.values())))
+
+
+def _wide_lookup(lookup: DataFrame) -> DataFrame:
+    """One row per known archetype and vintage with a column per city: at most 14 x 5 rows."""
+    known = lookup.filter(
+        F.col("archetype").isin(*V.ARCHETYPE_AREA)
+        & F.col("vintage").isin("pre1990", "1991_2000", "2001_2010", "2011_2017", "2018_plus")
+    )
+    return known.groupBy("archetype", F.col("vintage").alias("vintage5")).agg(
+        *[F.max(F.when(F.col("city") == c, F.col("median"))).alias(f"_in_{c}") for c in CITIES]
     )
 
 
@@ -122,22 +122,13 @@ def lookup_eui(df: DataFrame, lookup: DataFrame) -> DataFrame:
     A city missing from ``lookup`` (archetype, vintage, city, median: one row per combination, see
     ``tables.build_eui_lookup``) takes the seoul value times the city ratio.
     """
-    known = _bounded_lookup(lookup)
-    own = F.broadcast(known.withColumnRenamed("median", "_own"))
-    seoul = F.broadcast(
-        known.filter(F.col("city") == "seoul").select("archetype", "vintage5", F.col("median").alias("_seoul"))
-    )
-    ratios = F.broadcast(city_ratio(df.sparkSession))
-    scaled = half_up(F.col("_seoul") * F.col("ratio"), 1)
+    own = F.coalesce(*[F.when(F.col("city") == c, F.col(f"_in_{c}")) for c in CITIES])
+    seoul, ratio = F.col("_in_seoul"), F.coalesce(F.col("ratio"), F.lit(1.0))
     return (
-        df.join(own, ["archetype", "vintage5", "city"], "left")
-        .join(seoul, ["archetype", "vintage5"], "left")
-        .join(ratios, ["archetype", "city"], "left")
-        .withColumn(
-            "lookup_median",
-            F.coalesce("_own", F.when(F.coalesce(F.col("ratio"), F.lit(1.0)) == 1.0, F.col("_seoul")).otherwise(scaled)),
-        )
-        .drop("_own", "_seoul", "ratio")
+        df.join(F.broadcast(_wide_lookup(lookup)), ["archetype", "vintage5"], "left")
+        .join(F.broadcast(city_ratio(df.sparkSession)), ["archetype", "city"], "left")
+        .withColumn("lookup_median", F.coalesce(own, F.when(ratio == 1.0, seoul).otherwise(half_up(seoul * ratio, 1))))
+        .drop("ratio", *[f"_in_{c}" for c in CITIES])
     )
 
 

@@ -116,10 +116,12 @@ def spread(edges: DataFrame, seeds: DataFrame, centroids: DataFrame | None = Non
     live = cut(live)
     frontier = cut(seeds.select(*carried, "id").distinct())
     steps = [frontier.select("scenario", F.lit(0).alias("step"), "id")]
-    visited = steps[0]
+    visited, total = steps[0], frontier.count()
     for step in range(1, max_steps + 1):
-        sizes = visited.groupBy("scenario").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max_nodes)
-        going = frontier.join(sizes.select("scenario"), "scenario", "left_anti")
+        going = frontier
+        if total >= max_nodes:
+            full = visited.groupBy("scenario").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max_nodes)
+            going = frontier.join(full.select("scenario"), "scenario", "left_anti")
         reached = going.join(live, "id")
         strength = F.col("spread_weight")
         if centroids is not None:
@@ -133,8 +135,10 @@ def spread(edges: DataFrame, seeds: DataFrame, centroids: DataFrame | None = Non
             .select(*carried, "id")
         )
         frontier = cut(fresh)
-        if frontier.isEmpty():
+        new = frontier.count()
+        if new == 0:
             break
+        total += new
         steps.append(frontier.select("scenario", F.lit(step).alias("step"), "id"))
         visited = visited.unionByName(steps[-1])
     return visited

@@ -21,15 +21,15 @@ LITERAL_LIMIT = 1_000
 CELL = ["_row", "_col"]
 
 
-def _split(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column, hot: int = HOT) -> tuple[DataFrame, DataFrame, list[str]]:
+def _split(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column) -> tuple[DataFrame, DataFrame, list[str]]:
     """Add ``_salt`` so that rows of a key with many right rows meet in s x s separate groups.
 
     A left row is sent to one line of the square, a right row to one column; each pair of rows
     shares exactly one group. Keys with few rows keep a single group and are not copied.
     """
     crowded = (
-        right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot)
-        .select(*keys, F.ceil(F.sqrt(F.col("_n") / hot)).cast("int").alias("_s"))
+        right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT)
+        .select(*keys, F.ceil(F.sqrt(F.col("_n") / HOT)).cast("int").alias("_s"))
     )
 
     def spread(df: DataFrame, identity: Column, own_is_line: bool) -> DataFrame:
@@ -115,7 +115,7 @@ def _knn_rings(left: DataFrame, targets: DataFrame, k: int, max_m: float | None)
     north_south = max(box[4], lbox[3]) - min(box[3], lbox[2])
     east_west = max(box[2], lbox[1]) - min(box[1], lbox[0])
     reach = max(north_south, east_west, 1e-6) * geo.METRES_PER_DEGREE * 1.01
-    size = max(reach / math.sqrt(max(box[0], 1)) / 4, 1.0)
+    size = max(reach / math.sqrt(max(box[0], 1)) * math.sqrt(k / 3.0), 1.0)
     open_points, found = left.select("id", F.col("lng").alias("_lng"), F.col("lat").alias("_lat")), []
     while True:
         whole = size >= reach or (max_m is not None and size >= max_m)

@@ -61,7 +61,7 @@ def estimate_energy(spark, sf):
 
 def lookup(spark, sf):
     """A simulation lookup built from the line items: archetype by line number, vintage by quantity, city by supplier."""
-    return tables.build_eui_lookup(samples(spark, sf), max_n=10**9)
+    return tables.build_eui_lookup(samples(spark, sf))
 
 
 ARCHES = ("apartment_highrise", "apartment_midrise", "office", "school", "small_office", "warehouse", "retail")
@@ -85,7 +85,7 @@ SAMPLES = f"""samples AS (SELECT {_at(ARCHES, '(l_linenumber - 1) % 7')} AS arch
  'run_' || lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '_' || l_linenumber || '_' || l_partkey AS run_id, l_extendedprice / 100 AS eui FROM lineitem)"""
 LOOKUP = SAMPLES + f""",
 lookup AS (SELECT archetype, vintage, city, {R('quantile_cont(v, 0.5)', 1)} AS median, {R('quantile_cont(v, 0.1)', 1)} AS p10, {R('quantile_cont(v, 0.9)', 1)} AS p90, count(*) AS n
- FROM (SELECT *, {R('eui', 2)} AS v FROM samples WHERE eui > 5 AND eui < 5000) GROUP BY 1, 2, 3)"""
+ FROM (SELECT *, {R('eui', 2)} AS v FROM (SELECT * FROM samples QUALIFY row_number() OVER (PARTITION BY archetype, vintage, city ORDER BY run_id) <= 200) WHERE eui > 5 AND eui < 5000) GROUP BY 1, 2, 3)"""
 
 _V5 = "CASE WHEN built_year IS NULL THEN '2001_2010' WHEN built_year < 1990 THEN 'pre1990' WHEN built_year < 2001 THEN '1991_2000' WHEN built_year < 2011 THEN '2001_2010' WHEN built_year < 2018 THEN '2011_2017' ELSE '2018_plus' END"
 _SIMARCH = ("CASE usage_key WHEN 'apartment' THEN CASE WHEN floors_above <= 5 THEN 'apartment_midrise' ELSE 'apartment_highrise' END "

@@ -220,14 +220,14 @@ def shortest_paths(spark, sf):
  arcs AS (SELECT id_a AS a, id_b AS b, distance_m AS d FROM pairs UNION ALL SELECT id_b, id_a, distance_m FROM pairs), org AS (SELECT min(id) AS id FROM points GROUP BY label),
  snap AS (SELECT s.id AS shelter, p.id AS v FROM stations s CROSS JOIN points p QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY {HAVERSINE('s', 'p')}, p.id) = 1),
  pick AS (SELECT p.id AS origin, s.id AS shelter FROM org JOIN points p ON p.id = org.id CROSS JOIN stations s QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY {HAVERSINE('p', 's')}, s.id) <= 5),
- walk(s, v, c, h) AS (SELECT id, id, 0::DOUBLE, 0 FROM org UNION ALL SELECT s, b, min(c + d), h + 1 FROM walk JOIN arcs ON a = v WHERE h < 40 GROUP BY s, b, h), best AS (SELECT s, v, min(c) AS c FROM walk GROUP BY 1, 2)
+ walk(s, v, c, h) AS (SELECT id, id, 0::DOUBLE, 0 FROM org UNION ALL SELECT s, b, min(c + d), h + 1 FROM walk JOIN arcs ON a = v WHERE h < 15 GROUP BY s, b, h), best AS (SELECT s, v, min(c) AS c FROM walk GROUP BY 1, 2)
  SELECT origin, shelter, {R('c', 4)} AS distance_m FROM pick JOIN snap USING (shelter) JOIN best ON best.s = origin AND best.v = snap.v WHERE origin <> snap.v""")
 def routes(spark, sf):
     p = points(spark, sf).select("id", "lng", "lat", "label")
     roads = spatial.distance_pairs(p, RADIUS).toDF("source", "target", "length_m")
     first = p.groupBy("label").agg(F.min("id").alias("id"))
     origins = p.drop("label").join(first.select("id"), "id")
-    summary, _ = graph.routes(roads, p.drop("label"), origins, stations(spark, sf), k=5, max_hops=40)
+    summary, _ = graph.routes(roads, p.drop("label"), origins, stations(spark, sf), k=5, max_hops=15)
     return rounded(summary, 4, "distance_m")
 
 
