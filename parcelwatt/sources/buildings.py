@@ -143,10 +143,17 @@ def union_ledgers(*parts: DataFrame) -> DataFrame:
 ENCODINGS = ("UTF-8", "MS949", "EUC-KR")
 
 
+def allow_encoding(spark: SparkSession, encoding: str) -> str:
+    """Korean encodings need the session to accept every charset of the JVM."""
+    if encoding.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    return encoding
+
+
 def detect_encoding(spark: SparkSession, path: str, sample: int = 1000) -> str:
     """First encoding whose sample lines decode without replacement characters."""
     def bad(enc: str) -> int:
-        lines = spark.read.option("encoding", enc).option("header", False).csv(path).limit(sample)
+        lines = spark.read.option("encoding", allow_encoding(spark, enc)).option("header", False).csv(path).limit(sample)
         return lines.filter(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).contains("�"), F.lit(False)) for c in lines.columns])).count()
 
     return next((e for e in ENCODINGS if bad(e) == 0), ENCODINGS[0])
@@ -159,7 +166,7 @@ def read_ledger_csv(spark: SparkSession, path: str, encoding: str | None = None,
     The free-address layout (it has 시군구 and 법정동 columns) derives the key from the last words of
     the address through ``dong_codes`` (dong, bdong_code) inside ``sigungu``.
     """
-    enc = encoding or detect_encoding(spark, path)
+    enc = allow_encoding(spark, encoding or detect_encoding(spark, path))
     raw = spark.read.option("header", True).option("encoding", enc).option("inferSchema", False).csv(path)
     free = {"대지위치", "시군구", "법정동"} <= {c.lstrip("﻿").strip() for c in raw.columns}
     df = rename(raw, LEDGER_NAMES)

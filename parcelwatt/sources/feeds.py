@@ -8,7 +8,7 @@ from parcelwatt import schemas
 from parcelwatt.functions import hazard
 from parcelwatt.functions.geo import in_bbox
 from parcelwatt.functions.rounding import filled
-from parcelwatt.sources.buildings import detect_encoding
+from parcelwatt.sources.buildings import allow_encoding, detect_encoding
 
 # Header names of time and value columns, and time formats of meter files.
 TIME_HEADERS = {"측정시각", "검침일시", "datetime", "ts", "timestamp", "date_time", "time"}
@@ -45,14 +45,14 @@ def parse_meter_rows(raw: DataFrame, ts_id: int, meter: str, unit: str) -> tuple
 
 def read_meter_csv(spark: SparkSession, path: str, ts_id: int, meter: str, unit: str = "kWh", encoding: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Meter CSV of any size -> (readings, rejects)."""
-    enc = encoding or detect_encoding(spark, path)
+    enc = allow_encoding(spark, encoding or detect_encoding(spark, path))
     raw = spark.read.option("header", True).option("encoding", enc).option("mode", "PERMISSIVE").csv(path)
     return parse_meter_rows(raw, ts_id, meter, unit)
 
 
 def read_weather_text(spark: SparkSession, path: str, encoding: str = "EUC-KR") -> DataFrame:
     """Wind from the forecast text feed: region, forecast time, direction, speed."""
-    raw = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").option("header", False).csv(path)
+    raw = spark.read.option("encoding", allow_encoding(spark, encoding)).option("sep", "\u0001").option("quote", "").option("header", False).csv(path)
     return weather_from_lines(raw.toDF("value"))
 
 

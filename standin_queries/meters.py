@@ -233,7 +233,7 @@ def forecast(spark, sf):
 
 @query("retrain_all")
 def retrain_all(spark, sf):
-    return ts.retrain_all(daily(spark, sf), points_of_meters(spark, sf), min_days=100)
+    return ts.retrain_all(daily(spark, sf), points_of_meters(spark, sf), min_days=100, min_coverage=25.0)
 
 
 @query("total_kwh", f"""SELECT l_orderkey, l_linenumber, {R('''coalesce(CASE WHEN l_returnflag = 'N' THEN l_extendedprice END, CASE WHEN l_returnflag = 'A' OR l_linestatus = 'O'

@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from parcelwatt.functions import geo
 from parcelwatt.operators import fire, graph, spatial
@@ -198,4 +197,3 @@ def test_impact(spark):
     row = fire.impact(reached, b, r).first()
     assert (row["total_buildings"], row["total_area_m2"], row["high_risk_count"], row["medium_risk_count"], row["residential_count"], row["commercial_count"]) == (3, 15.0, 1, 1, 1, 1)
     assert row["time_to_100_buildings_min"] is None and row["simulation_duration_min"] == 5 and not row["halted_due_to_limit"]
-    assert F is not None
