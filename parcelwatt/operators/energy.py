@@ -189,12 +189,12 @@ def annualise_monthly(monthly: DataFrame) -> DataFrame:
     the whole feed is left out, as its series has ended.
     """
     per_month = monthly.groupBy("pnu", "ym").agg(F.sum("kwh").alias("kwh")).filter(F.col("kwh") > 0)
-    newest = monthly.agg(F.max("ym").alias("_newest"))
+    newest = monthly.agg(F.max("ym")).scalar()
     per_pnu = per_month.groupBy("pnu").agg(
         F.sum("kwh").alias("_total"), F.count(F.lit(1)).alias("months"), F.max("ym").alias("_last")
     )
     return (
-        per_pnu.join(F.broadcast(newest), F.col("_last") == F.col("_newest"))
+        per_pnu.filter(F.col("_last") == newest)
         .select("pnu", "months", (F.col("_total") * 12 / F.col("months")).alias("annual_kwh"))
     )
 

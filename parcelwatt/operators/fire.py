@@ -128,12 +128,11 @@ def current_wind(observations: DataFrame, circular: bool = False) -> DataFrame:
     The plain mean of degrees matches the stored view but is wrong across north; ``circular``
     averages on the circle.
     """
-    newest = observations.agg(F.max("measured_at").alias("measured_at"))
-    latest = observations.join(F.broadcast(newest), "measured_at")
     rad = F.radians("wind_direction")
     around = F.pmod(F.degrees(F.atan2(F.avg(F.sin(rad)), F.avg(F.cos(rad)))) + 360.0, F.lit(360.0))
     direction = around if circular else F.avg("wind_direction")
-    return latest.groupBy("measured_at").agg(
+    per_time = observations.filter(F.col("measured_at").isNotNull()).groupBy("measured_at").agg(
         half_up(direction, 1).alias("wind_direction"), half_up(F.avg("wind_speed"), 1).alias("wind_speed"),
         F.count(F.lit(1)).alias("observations"),
     )
+    return per_time.orderBy(F.col("measured_at").desc()).limit(1)

@@ -54,15 +54,12 @@ def check(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame
 
 
 def report(buildings: DataFrame, results: DataFrame, known_usages: tuple[str, ...] = ()) -> DataFrame:
-    """One row of issue counts over buildings and current results."""
-    b = buildings.agg(
-        F.count(F.when(~F.col("built_year").between(*YEAR_RANGE), 1)).alias("year_out_of_range"),
-        F.count(F.when(F.col("height") >= MAX_HEIGHT, 1)).alias("extreme_height"),
-        F.count(F.when(~F.coalesce(F.col("usage_type").isin(*known_usages), F.lit(False)), 1)).alias("unclassified_usage"),
-    )
-    e = results.filter("is_current").agg(
-        F.count(F.when(F.col("co2_kg_m2").isNull(), 1)).alias("null_co2"),
-        F.count(F.when(F.col("total_energy") < 0, 1)).alias("negative_eui"),
-    )
-    one = lambda df: df.withColumn("_k", F.lit(1))  # noqa: E731  (single-row tables)
-    return one(b).join(one(e), "_k").drop("_k")
+    """One row of issue counts over buildings and current results, in one aggregation."""
+    of_building = {
+        "year_out_of_range": ~F.col("built_year").between(*YEAR_RANGE), "extreme_height": F.col("height") >= MAX_HEIGHT,
+        "unclassified_usage": ~F.coalesce(F.col("usage_type").isin(*known_usages), F.lit(False)),
+    }
+    of_result = {"null_co2": F.col("co2_kg_m2").isNull(), "negative_eui": F.col("total_energy") < 0}
+    flags = lambda df, rules: df.select(*[rule.alias(name) for name, rule in rules.items()])
+    every = flags(buildings, of_building).unionByName(flags(results.filter("is_current"), of_result), allowMissingColumns=True)
+    return every.agg(*[F.count(F.when(F.col(c), 1)).alias(c) for c in [*of_building, *of_result]])

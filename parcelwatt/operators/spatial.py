@@ -16,21 +16,29 @@ from parcelwatt.operators.join import distinct_on, top_k
 from parcelwatt.session import cut
 
 HOT = 2_000
+HOT_LIST = 10_000
 LITERAL_LIMIT = 1_000
 
 CELL = ["_row", "_col"]
 
 
-def _split(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Add ``_salt`` so that rows of a key with many right rows meet in s x s separate groups.
+def split_hot(left: DataFrame, right: DataFrame, keys: list[str], left_id: Column, right_id: Column) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Prepare an inner join on ``keys`` whose right side may hold very many rows of one key.
 
-    A left row is sent to one line of the square, a right row to one column; each pair of rows
-    shares exactly one group. Keys with few rows keep a single group and are not copied.
+    Keys with more than ``HOT`` right rows are divided into an s x s square of groups: a left row is
+    sent to one line of the square, a right row to one column, so each pair of rows shares exactly
+    one group. Returns both sides and the join keys. Nothing is added when no key is hot; a short
+    list of hot keys (its length is checked) is broadcast, a long one is joined by shuffle.
     """
     crowded = (
         right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT)
         .select(*keys, F.ceil(F.sqrt(F.col("_n") / HOT)).cast("int").alias("_s"))
     )
+    found = crowded.limit(HOT_LIST + 1).collect()
+    if not found:
+        return left, right, keys
+    if len(found) <= HOT_LIST:
+        crowded = F.broadcast(left.sparkSession.createDataFrame(found, crowded.schema))
 
     def spread(df: DataFrame, identity: Column, own_is_line: bool) -> DataFrame:
         s = F.coalesce("_s", F.lit(1))
@@ -59,7 +67,7 @@ def distance_pairs(points: DataFrame, radius_m: float, where: Column | None = No
     one = distinct_on(points.select("id", "lng", "lat").dropna(), ["id"], [F.col("lng"), F.col("lat")])
     left = _in_cells(one.toDF("id_a", "lng_a", "lat_a"), geo.neighbour_cells(F.col("lng_a"), F.col("lat_a"), radius_m))
     right = _own_cell(one.toDF("id_b", "lng_b", "lat_b"), "lng_b", "lat_b", radius_m)
-    left, right, keys = _split(left, right, CELL, F.col("id_a"), F.col("id_b"))
+    left, right, keys = split_hot(left, right, CELL, F.col("id_a"), F.col("id_b"))
     pairs = left.join(right, keys).filter(F.col("id_a") < F.col("id_b"))
     if where is not None:
         pairs = pairs.filter(where)
@@ -71,7 +79,7 @@ def range_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
     """All (left, right) pairs within ``radius_m``. Both sides: id, lng, lat."""
     l = _in_cells(left.select("id", "lng", "lat").toDF("id", "_lng", "_lat"), geo.neighbour_cells(F.col("_lng"), F.col("_lat"), radius_m))
     r = _own_cell(right.select("id", "lng", "lat").toDF("target_id", "_tlng", "_tlat"), "_tlng", "_tlat", radius_m)
-    l, r, keys = _split(l, r, CELL, F.col("id"), F.col("target_id"))
+    l, r, keys = split_hot(l, r, CELL, F.col("id"), F.col("target_id"))
     joined = l.join(r, keys).withColumn("distance_m", geo.haversine(F.col("_lng"), F.col("_lat"), F.col("_tlng"), F.col("_tlat")))
     return joined.filter(F.col("distance_m") <= radius_m).select("id", "target_id", "distance_m")
 
@@ -121,7 +129,7 @@ def _knn_rings(left: DataFrame, targets: DataFrame, k: int, max_m: float | None)
         whole = size >= reach or (max_m is not None and size >= max_m)
         l = _in_cells(open_points, geo.neighbour_cells(F.col("_lng"), F.col("_lat"), size))
         r = _own_cell(targets, "_tlng", "_tlat", size)
-        l, r, keys = _split(l, r, CELL, F.col("id"), F.col("target_id"))
+        l, r, keys = split_hot(l, r, CELL, F.col("id"), F.col("target_id"))
         near = l.join(r, keys).withColumn("distance_m", geo.haversine(F.col("_lng"), F.col("_lat"), F.col("_tlng"), F.col("_tlat")))
         if not whole:
             near = near.filter(F.col("distance_m") <= size)
@@ -156,7 +164,7 @@ def pip_join(points: DataFrame, polygons: DataFrame, size_m: float = 1_000.0) ->
     last = geo.cell_col(F.col("_box.xmax"), F.col("_row"), size_m)
     covered = boxed.withColumn("_col", F.explode(F.sequence(first, last))).select("polygon_id", "rings", *CELL)
     own = _own_cell(points.select("id", "lng", "lat"), "lng", "lat", size_m)
-    left, right, keys = _split(own, covered, CELL, F.col("id"), F.col("polygon_id"))
+    left, right, keys = split_hot(own, covered, CELL, F.col("id"), F.col("polygon_id"))
     return left.join(right, keys).filter(geo.contains(F.col("rings"), F.col("lng"), F.col("lat"))).select("id", "polygon_id")
 
 
@@ -169,7 +177,7 @@ def bbox_join(left: DataFrame, right: DataFrame, size_m: float = 1_000.0) -> Dat
         return df.withColumn("_col", F.explode(F.sequence(lo, hi)))
 
     l, r = covered(left), covered(right).toDF("target_id", "_x0", "_y0", "_x1", "_y1", *CELL)
-    l, r, keys = _split(l, r, CELL, F.col("id"), F.col("target_id"))
+    l, r, keys = split_hot(l, r, CELL, F.col("id"), F.col("target_id"))
     joined = l.join(r, keys).filter((F.col("xmin") <= F.col("_x1")) & (F.col("xmax") >= F.col("_x0")) & (F.col("ymin") <= F.col("_y1")) & (F.col("ymax") >= F.col("_y0")))
     # The pair is reported once: by the cell holding the lower-left corner of the common extent.
     y, x = F.greatest("ymin", "_y0"), F.greatest("xmin", "_x0")
@@ -211,7 +219,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
     def close(df: DataFrame, other: DataFrame) -> DataFrame:
         """Pairs (df row, other row as o_*) within eps."""
         o = other.select(*CELL, *[F.col(c).alias(f"o_{c}") for c in other.columns if c not in CELL])
-        l, r, keys = _split(reach(df), o, CELL, F.col("spot"), F.col("o_spot"))
+        l, r, keys = split_hot(reach(df), o, CELL, F.col("spot"), F.col("o_spot"))
         near = F.pow(F.col("x") - F.col("o_x"), 2) + F.pow(F.col("y") - F.col("o_y"), 2) <= eps * eps
         return l.join(r, keys).filter(near)
 
@@ -248,7 +256,7 @@ def dbscan(points: DataFrame, eps: float, min_pts: int) -> DataFrame:
 
     a = toward("1", "r2", "c2")
     b = toward("2", "r1", "c1").toDF("node", "o_node", "o_spot", "o_x", "o_y")
-    a, b, keys = _split(a, b, ["node", "o_node"], F.col("spot"), F.col("o_spot"))
+    a, b, keys = split_hot(a, b, ["node", "o_node"], F.col("spot"), F.col("o_spot"))
     touching = F.pow(F.col("x") - F.col("o_x"), 2) + F.pow(F.col("y") - F.col("o_y"), 2) <= eps * eps
     checked = a.join(b, keys).filter(touching).groupBy("node", "o_node").agg(F.lit(1).alias("_t")).select("node", "o_node")
     edges = sure.unionByName(checked).toDF("u", "v")

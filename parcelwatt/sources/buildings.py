@@ -92,11 +92,10 @@ def footprints_from_features(pages: DataFrame) -> DataFrame:
     df = df.withColumns({"cx": F.col("_c.x"), "cy": F.col("_c.y"), **{k: F.col(f"_b.{k}") for k in ("xmin", "ymin", "xmax", "ymax")}})
     keys = {"_kx": F.round("cx", 7), "_ky": F.round("cy", 7)}
     one = distinct_on(df.withColumns(keys), list(keys), [F.col("bld_mgt_sn").asc_nulls_last()]).drop("_c", "_b", "polygons", *keys)
-    any_height = one.agg(F.max(F.col("height").isNotNull()).alias("_any"))
+    any_height = one.agg(F.max(F.col("height").isNotNull())).scalar()
     guess = half_up(F.when(F.col("grnd_flr") > 0, F.col("grnd_flr").cast("double")) * METRES_PER_FLOOR, 1)
     return (
-        one.join(F.broadcast(any_height))
-        .withColumn("height", F.when(F.col("_any"), F.col("height")).otherwise(guess)).drop("_any")
+        one.withColumn("height", F.when(any_height, F.col("height")).otherwise(guess))
         .withColumn("gid", F.xxhash64("bld_mgt_sn", "cx", "cy"))
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, datetime
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +15,11 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
 
 
+def rebalanced(df: DataFrame, *columns: str) -> DataFrame:
+    """Gather rows by folder column before a partitioned write; large folders are split, small ones joined."""
+    return df.sparkSession.sql(f"SELECT /*+ REBALANCE({', '.join(columns)}) */ * FROM {{rows}}", rows=df)
+
+
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Replace the table at ``path``: written beside it first, then swapped, so readers of the old
     snapshot (also ``df`` itself) are complete before it goes."""
@@ -28,9 +33,9 @@ def write_snapshot(df: DataFrame, path: str) -> None:
 
 
 def write_readings(df: DataFrame, path: str, when: str = "recorded_at", mode: str = "append") -> None:
-    """Append by year and month. Months meet in as many files as they have data for, not in one task."""
+    """Append by year and month."""
     parts = df.withColumns({"year": F.year(when), "month": F.month(when)})
-    parts.write.mode(mode).partitionBy("year", "month").parquet(path)
+    rebalanced(parts, "year", "month").write.mode(mode).partitionBy("year", "month").parquet(path)
 
 
 def read_readings(spark: SparkSession, path: str, start: datetime | None = None, end: datetime | None = None, when: str = "recorded_at") -> DataFrame:
@@ -45,13 +50,13 @@ def read_readings(spark: SparkSession, path: str, start: datetime | None = None,
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
-    df.withColumn("year", F.year("predicted_at")).write.mode("append").partitionBy("year").parquet(path)
+    rebalanced(df.withColumn("year", F.year("predicted_at")), "year").write.mode("append").partitionBy("year").parquet(path)
 
 
 def replace_region(df: DataFrame, path: str, key: str = "pnu") -> None:
     """Replace exactly the districts present in ``df``; other districts stay untouched."""
     (
-        df.withColumn("sgg", F.substring(key, 1, 5)).write.mode("overwrite")
+        rebalanced(df.withColumn("sgg", F.substring(key, 1, 5)), "sgg").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic").partitionBy("sgg").parquet(path)
     )
 
@@ -72,9 +77,3 @@ def merge_evolved(spark: SparkSession, path: str, defaults: dict) -> DataFrame:
     """Read a table whose columns were added over time, filling missing values with defaults."""
     df = spark.read.option("mergeSchema", True).parquet(path)
     return df.withColumns({c: F.coalesce(F.col(c) if c in df.columns else F.lit(None), F.lit(v)) for c, v in defaults.items()})
-
-
-def month_range(day: date) -> tuple[date, date]:
-    first = day.replace(day=1)
-    following = date(first.year + first.month // 12, first.month % 12 + 1, 1)
-    return first, following

@@ -11,7 +11,6 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from parcelwatt.functions.rounding import half_up
 from parcelwatt.operators import timeseries as ts
 from parcelwatt.operators.fire import current_wind
 from parcelwatt.operators.upsert import insert_ignore
@@ -123,18 +122,24 @@ def to_snapshot(stream: DataFrame, path: str, checkpoint: str, mode: str = "comp
 
 
 def weather(stream: DataFrame, path: str, current_path: str, checkpoint: str) -> StreamingQuery:
-    """Append new observations once per (grid_x, grid_y, measured_at) and refresh the current wind."""
+    """Append new observations once per (grid_x, grid_y, measured_at) and refresh the current wind.
+
+    Observations are kept by day; a batch touches only its own days and the newest one.
+    """
     keys = ["grid_x", "grid_y", "measured_at"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        past = _read_or_none(spark, path)
-        one = insert_ignore(past if past is not None else batch.limit(0), batch, keys, [F.col("wind_direction"), F.col("wind_speed")])
-        one.write.mode("append").parquet(path)
-        current_wind(spark.read.parquet(path)).write.mode("overwrite").parquet(current_path)
+        rows = batch.withColumn("day", F.to_date("measured_at")).persist()
+        low, high = rows.agg(F.min("day"), F.max("day")).first()
+        if low is not None:
+            past, shown = _read_or_none(spark, path), _read_or_none(spark, current_path)
+            known = rows.limit(0) if past is None else past.filter(F.col("day").between(F.lit(low), F.lit(high)))
+            one = insert_ignore(known, rows, keys, [F.col("wind_direction"), F.col("wind_speed")])
+            one.write.mode("append").partitionBy("day").parquet(path)
+            newest = max([high] + ([r.measured_at.date() for r in shown.take(1)] if shown is not None else []))
+            latest_day = spark.read.parquet(path).filter(F.col("day") >= F.lit(newest))
+            current_wind(latest_day).write.mode("overwrite").parquet(current_path)
+        rows.unpersist()
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def rounded(df: DataFrame, column: str, digits: int) -> DataFrame:
-    return df.withColumn(column, half_up(F.col(column), digits))
