@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelwatt.functions import geo, hazard
-from parcelwatt.operators.join import distinct_on, top_k
+from parcelwatt.operators.join import distinct_on, small, top_k
 from parcelwatt.session import cut
 
 
@@ -116,13 +116,14 @@ def spread(edges: DataFrame, seeds: DataFrame, centroids: DataFrame | None = Non
     live = cut(live)
     frontier = cut(seeds.select(*carried, "id").distinct())
     steps = [frontier.select("scenario", F.lit(0).alias("step"), "id")]
-    visited, total = steps[0], frontier.count()
+    visited = steps[0]
+    new = total = frontier.count()
     for step in range(1, max_steps + 1):
         going = frontier
         if total >= max_nodes:
             full = visited.groupBy("scenario").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max_nodes)
             going = frontier.join(full.select("scenario"), "scenario", "left_anti")
-        reached = going.join(live, "id")
+        reached = live.join(small(going, new), "id")
         strength = F.col("spread_weight")
         if centroids is not None:
             wind = hazard.wind_factor(F.col("_bearing"), F.col("wind_direction"), F.col("wind_speed"))
@@ -131,7 +132,7 @@ def spread(edges: DataFrame, seeds: DataFrame, centroids: DataFrame | None = Non
             reached.withColumn("_s", strength)
             .groupBy(*carried, F.col("_to").alias("id")).agg(F.max("_s").alias("_s"))
             .filter(F.col("_s") >= threshold)
-            .join(visited.select("scenario", "id"), ["scenario", "id"], "left_anti")
+            .join(small(visited.select("scenario", "id"), total), ["scenario", "id"], "left_anti")
             .select(*carried, "id")
         )
         frontier = cut(fresh)
@@ -170,9 +171,9 @@ def shortest_paths(roads: DataFrame, sources: DataFrame, max_hops: int = 200, ma
     start = sources.select("vertex").distinct()
     none = F.lit(None).cast(arcs.schema["vertex"].dataType)
     best = cut(start.select(F.col("vertex").alias("source"), "vertex", F.lit(0.0).alias("cost"), none.alias("pred")))
-    frontier = best
+    frontier, moved = best, best.count()
     for _ in range(max_hops):
-        offers = frontier.join(arcs, "vertex").select(
+        offers = arcs.join(small(frontier, moved), "vertex").select(
             "source", F.col("_to").alias("vertex"), (F.col("cost") + F.col("length_m")).alias("cost"), F.col("vertex").alias("pred")
         )
         if max_cost is not None:
@@ -186,7 +187,8 @@ def shortest_paths(roads: DataFrame, sources: DataFrame, max_hops: int = 200, ma
         state = cut(merged.select("source", "vertex", pick.alias("_p"), "_better"))
         best = state.select("source", "vertex", "_p.cost", "_p.pred")
         frontier = state.filter("_better").select("source", "vertex", "_p.cost")
-        if frontier.isEmpty():
+        moved = frontier.count()
+        if moved == 0:
             break
     return best
 

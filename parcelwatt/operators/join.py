@@ -10,12 +10,23 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int = 1, rank: str | None = None) -> DataFrame:
-    """The first ``k`` rows of every key in ``order`` (give a total order for repeatable results)."""
+    """The first ``k`` rows of every key in ``order`` (give a total order for repeatable results).
+
+    The limit before the shuffle applies up to ``spark.sql.optimizer.windowGroupLimitThreshold``.
+    """
     name = rank or "_rank"
     ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= k)
     return ranked if rank else ranked.drop(name)
 
 
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast when its counted ``rows`` are few, else unchanged."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in ``order``."""
     return top_k(df, keys, order, 1)

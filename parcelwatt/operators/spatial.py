@@ -6,6 +6,7 @@ rows are divided into a square of sub-tasks on both sides, so no task meets a wh
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -94,15 +95,15 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 1, max_m: float | None
     """
     targets = right.select("id", "lng", "lat").dropna()
     few = targets.limit(literal_limit + 1).collect()
-    if len(few) <= literal_limit:
+    if len(few) <= literal_limit and all(isinstance(r.id, (int, str)) for r in few):
         return _knn_literal(left, few, targets.schema["id"].dataType.simpleString(), k, max_m)
     return _knn_rings(left, targets, k, max_m)
 
 
 def _knn_literal(left: DataFrame, rows: list, id_type: str, k: int, max_m: float | None) -> DataFrame:
-    element = f"array<struct<id:{id_type},lng:double,lat:double>>"
-    constant = F.array(*[F.struct(F.lit(r.id).alias("id"), F.lit(float(r.lng)).alias("lng"), F.lit(float(r.lat)).alias("lat")) for r in rows])
-    measured = F.transform(constant.cast(element), lambda t: F.struct(
+    text = json.dumps([{"id": r.id, "lng": float(r.lng), "lat": float(r.lat)} for r in rows])
+    constant = F.from_json(F.lit(text), f"array<struct<id:{id_type},lng:double,lat:double>>")
+    measured = F.transform(constant, lambda t: F.struct(
         geo.haversine(F.col("lng"), F.col("lat"), t["lng"], t["lat"]).alias("distance_m"), t["id"].alias("target_id")))
     near = F.slice(F.array_sort(measured), 1, k)
     out = left.select("id", F.posexplode(near).alias("_i", "_t")).select(
