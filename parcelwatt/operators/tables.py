@@ -60,9 +60,10 @@ def calibration(tier1: DataFrame, lookup: DataFrame, city: str = "seoul") -> Dat
 
 def simulated_eui(metadata: DataFrame, areas: DataFrame | None = None) -> DataFrame:
     """Valid baseline runs -> building, city, eui (J -> kWh over the building's floor area)."""
-    areas = areas if areas is not None else dims.floor_areas(metadata.sparkSession)
+    if areas is None:
+        areas = F.broadcast(dims.floor_areas(metadata.sparkSession))
     valid = metadata.filter((F.col("ems") == "E0") & F.col("valid"))
-    return valid.join(F.broadcast(areas), "building").select(
+    return valid.join(areas, "building").select(
         "building", "city", (F.col("energy_j") / V.JOULES_PER_KWH / F.col("floor_area")).alias("eui")
     )
 

@@ -42,7 +42,7 @@ def accuracy(spark, sf):
 def star_accuracy(spark, sf):
     registry, versions = _registry(spark, sf)
     v = versions.join(registry.select(F.col("id").alias("model_id"), "model_name"), "model_id").select(F.col("id").alias("model_version_id"), "model_name")
-    return ml.accuracy_by_segment(predictions(spark, sf).join(F.broadcast(v), "model_version_id"), ["model_name", "l_returnflag"]).drop("rmse")
+    return ml.accuracy_by_segment(predictions(spark, sf).join(v, "model_version_id"), ["model_name", "l_returnflag"]).drop("rmse")
 
 
 @query("latest_version", """WITH v AS (SELECT l_linenumber AS id, l_linenumber % 2 AS model_id, max(l_shipdate) AS created_at FROM lineitem GROUP BY 1, 2) SELECT 'model_' || model_id AS model_name, 'v' || id AS version_tag FROM v QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY created_at DESC, id DESC) = 1""")

@@ -12,8 +12,9 @@ from parcelwatt.functions import geo
 from parcelwatt.operators import ml, quality, query as Q
 from parcelwatt.session import shared_dir
 from parcelwatt.sources import buildings as B, feeds, sinks
-from standin_queries.base import BUILDING, CURRENT, READING, R, TS, building, query, reading, result, rounded, table
-from standin_queries.learning import _events
+from standin_queries.base import BUILDING, CURRENT, READING, R, RESULT, TS, building, query, reading, result, rounded, table
+from standin_queries.energy import YEAR, _GRADE
+from standin_queries.learning import _events, predictions
 
 
 def _path(spark, name):
@@ -150,3 +151,38 @@ def key_checks(spark, sf):
     rules = {"pnu": quality.pnu_ok(F.col("pnu")), "area": F.col("total_area").isNotNull(), "name": F.col("building_name").isNotNull()}
     _, bad = quality.check(building(spark, sf), rules)
     return bad.select("gid", F.col("reasons")[0].alias("first_reason"))
+
+
+@query("prediction_store", """SELECT year(l_shipdate) AS year, count(*) AS n, CAST(round(CAST(sum(l_quantity) AS DECIMAL(30,8)), 2) AS DOUBLE) AS total FROM lineitem GROUP BY 1""")
+def prediction_store(spark, sf):
+    path = _path(spark, "predictions")
+    sinks.write_predictions(predictions(spark, sf), path)
+    back = spark.read.parquet(path).groupBy("year").agg(F.count(F.lit(1)).alias("n"), (F.sum("predicted_eui") / 1000).alias("total"))
+    return rounded(back, 2, "total")
+
+
+@query("audit_run", """SELECT 'load' AS run_type, 'success' AS status, count(*) AS rows_upserted, count(*) FILTER (WHERE o_orderstatus = 'P') AS rows_skipped FROM orders""")
+def audit_run(spark, sf):
+    """Orders written under an audit record, which counts them on the way."""
+    from parcelwatt.operators import audit
+
+    path = _path(spark, "audit")
+    orders = table(spark, sf, "orders")
+    with audit.record(spark, f"{path}/log", "load", {"sf": "given"}) as run:
+        run.watch(orders).write.parquet(f"{path}/orders")
+        run.watch(orders.filter("o_orderstatus = 'P'"), "skipped").write.parquet(f"{path}/skipped")
+    return spark.read.parquet(f"{path}/log").select("run_type", "status", "rows_upserted", "rows_skipped")
+
+
+@query("estimate_results", f"""WITH {RESULT}, one AS (SELECT b.pnu, {_GRADE} AS g, r.data_tier, r.simulation_type, r.total_energy FROM building b LEFT JOIN (SELECT * FROM result WHERE is_current) r USING (pnu))
+ SELECT pnu, CASE WHEN g IS NOT NULL AND coalesce(data_tier, 4) >= 2 THEN 2 WHEN coalesce(data_tier, 4) = 4 THEN 4 ELSE data_tier END AS data_tier,
+ CASE WHEN g IS NOT NULL AND coalesce(data_tier, 4) >= 2 THEN 'energy_grade' WHEN coalesce(data_tier, 4) = 4 THEN 'archetype' ELSE simulation_type END AS simulation_type,
+ CASE WHEN g IS NOT NULL AND coalesce(data_tier, 4) >= 2 THEN g WHEN coalesce(data_tier, 4) < 4 THEN total_energy ELSE 0 END AS kept_energy FROM one""")
+def estimate_results(spark, sf):
+    """Current results after grades and archetype estimates filled every building."""
+    from parcelwatt.plans.refresh import estimate_results as run
+
+    current = result(spark, sf).filter("is_current").drop("reference_year", "co2_kg_m2", "primary_energy_kwh_m2")
+    out = run(building(spark, sf), current, None, YEAR)
+    kept = F.when(F.col("data_tier") == 4, 0.0).otherwise(F.col("total_energy"))
+    return out.select("pnu", "data_tier", "simulation_type", kept.alias("kept_energy"))

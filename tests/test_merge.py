@@ -104,3 +104,25 @@ def test_resolution(spark, rows):
 def test_schemas_parse(spark):
     for name in ("FOOTPRINT", "LEDGER", "ENERGY_RESULT", "MONITORED", "READING", "READING_DAILY", "ANOMALY", "EDGE", "WEATHER", "SHELTER", "PREDICTION"):
         assert len(spark.createDataFrame([], getattr(schemas, name)).columns) > 3
+
+
+def test_similar_names_match_brute_force_with_hot_trigrams(spark, monkeypatch):
+    import random
+    import re
+
+    from parcelwatt.operators import spatial
+
+    monkeypatch.setattr(spatial, "HOT", 3)
+    rnd = random.Random(4)
+    words = ["tower", "towers", "plaza", "park", "hill", "house", "apt", "apartment", "seoul", "garden"]
+    name = lambda: " ".join(rnd.sample(words, rnd.randint(1, 3))) + rnd.choice(["", " 1", " 22"])
+    left, right = [("x", name()) for _ in range(60)], [("x", name()) for _ in range(60)]
+
+    def tri(text):
+        return {("  " + w + " ")[i:i + 3] for w in re.split(r"[^a-z0-9]+", text.lower()) if w for i in range(len(w) + 1)}
+
+    jac = lambda a, b: len(tri(a) & tri(b)) / len(tri(a) | tri(b))
+    want = {(a, b) for _, a in left for _, b in right if jac(a, b) >= 0.3}
+    frame = lambda rows_: spark.createDataFrame(rows_, "block string, name string")
+    got = {(r["name_a"], r["name_b"]) for r in resolve.similar_names(frame(left), frame(right)).collect()}
+    assert got == want and want
