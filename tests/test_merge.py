@@ -126,3 +126,6 @@ def test_similar_names_match_brute_force_with_hot_trigrams(spark, monkeypatch):
     frame = lambda rows_: spark.createDataFrame(rows_, "block string, name string")
     got = {(r["name_a"], r["name_b"]) for r in resolve.similar_names(frame(left), frame(right)).collect()}
     assert got == want and want
+    best = {r["name_a"]: (r["name_b"], round(r["similarity"], 9)) for r in resolve.best_similar(frame(left), frame(right)).collect()}
+    ranked = {a: min((-jac(a, b), b) for _, b in right) for _, a in left}
+    assert best == {a: (b, round(-j, 9)) for a, (j, b) in ranked.items() if -j >= 0.3}
