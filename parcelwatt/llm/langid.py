@@ -44,7 +44,7 @@ def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
         inner = np.zeros(len(code), bool)
         for i in range(1, n - 1):
             inner |= space[i:len(code) + i]
-        parts.append(code[~inner & ~(space[:len(code)] & space[n - 1:])])
+        parts.append(code[~(inner | space) if n == 1 else ~inner])
     return np.unique(np.concatenate(parts), return_counts=True)
 
 

@@ -184,7 +184,7 @@ def deduplicated(docs: DataFrame, shingle: int = 3, radius: int = 2, shard_rows:
     f, root = free_name(docs, "_f"), free_name(docs, "_root")
     keys = [c for c in ("doc_id", "source", "lang") if c in docs.columns]
     # a row is known by its keys and the hash of its text; equal rows are equal, so any one of them will do
-    key = F.struct(*(F.col(k).isNull() for k in keys), *(F.col(k) for k in keys), F.xxhash64("text"))
+    key = F.struct(*(c for k in keys for c in (F.col(k).isNull(), F.col(k))), F.xxhash64("text"))
     slim = cut(docs.select(fingerprint_column("text", shingle).alias("f"), key.alias("k")))
     distinct = cut(slim.groupBy("f").agg(F.min("k").alias("k")))
     grouped = components(links(distinct.select("f"), radius, shard_rows)).withColumnRenamed("v", "f")
