@@ -220,10 +220,13 @@ def train(texts: list[str], toxic: list[int], steps: int = 300, batch: int = 48,
     """
     rng, network = np.random.default_rng(seed), Network(seed)
     number: dict[str, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int64) for t in texts]
+    coded = [np.array([number.setdefault(w, len(number)) for w in t.lower().split()], np.int32) for t in texts]
     groups = [np.array([i for i, y in enumerate(toxic) if y == k and len(coded[i])]) for k in (0, 1)]
     words = list(number)
-    buckets, grams, starts = features(words)
+    number.clear()
+    parts = [features(words[i:i + 16384]) for i in range(0, len(words), 16384)]  # in parts: the driver holds all words of the sample
+    buckets, grams = np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int32) for p in parts])
+    starts = np.concatenate([p[2] + before for p, before in zip(parts, np.cumsum([0, *(len(p[1]) for p in parts)]))])
     ends = np.append(starts[1:], len(grams))
 
     def some(ids: np.ndarray):
