@@ -274,7 +274,7 @@ def _audit(classes: DataFrame, counts: DataFrame, threshold: float, sample_rows:
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", shard_rows: int = 1000, slice_rows: int = 4000,
-                    centroid_sample: int = 20_000, most_centroids: int = 1024, overlap: float = 0.06, beam: int = 32, audit_rows: int = 500, least_recall: float = 0.97) -> DataFrame:
+                    centroid_sample: int = 8000, most_centroids: int = 1024, overlap: float = 0.06, beam: int = 32, audit_rows: int = 500, least_recall: float = 0.97) -> DataFrame:
     """vec_id, n_links, component_id, kept, audited_recall for every row of ``vectors``."""
     good = usable(vector) & F.col(key).isNotNull() & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(key).alias("vec_id"), F.when(good, F.col(vector).cast("array<double>")).alias("v"))

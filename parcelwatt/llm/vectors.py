@@ -29,8 +29,8 @@ def widened(m: np.ndarray, width: int) -> np.ndarray:
 
 def hash_sample(rows: DataFrame, key: str, vector: str, size: int) -> np.ndarray:
     """A bounded sample of vectors, the same at every run: those of smallest key hash."""
-    picked = rows.orderBy(F.xxhash64(key), key).limit(size).select(vector).collect()
-    return matrix(r[0] for r in picked)
+    picked = rows.orderBy(F.xxhash64(key), key).limit(size).select(vector)
+    return matrix(np.asarray(r[0], np.float64) for r in picked.toLocalIterator())
 
 
 def spread(sample: np.ndarray, count: int) -> np.ndarray:
