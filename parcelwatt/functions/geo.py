@@ -14,10 +14,10 @@ POLYGON = f"array<{RING}>"
 
 
 def haversine(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:
-    """Great-circle metres (within 0.5 % of the ellipsoid distance)."""
+    """Great-circle metres (within 0.5 % of the ellipsoid distance); null if any coordinate is."""
     dlat, dlng = F.radians(lat2 - lat1), F.radians(lng2 - lng1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlng / 2), 2)
-    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+    return 2 * EARTH_RADIUS_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def bearing(lng1: Column, lat1: Column, lng2: Column, lat2: Column) -> Column:

@@ -24,8 +24,8 @@ _FUNCTIONS = {
     "wind_factor(direction DOUBLE, wind_from DOUBLE, speed DOUBLE) RETURNS DOUBLE": """
         greatest(0D, 1 + (speed / 20) * cos(radians(direction - (wind_from + 180))))""",
     "haversine_m(lng1 DOUBLE, lat1 DOUBLE, lng2 DOUBLE, lat2 DOUBLE) RETURNS DOUBLE": f"""
-        2 * {EARTH_RADIUS_M}D * asin(sqrt(least(1D, power(sin(radians(lat2 - lat1) / 2), 2)
-             + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lng2 - lng1) / 2), 2))))""",
+        2 * {EARTH_RADIUS_M}D * asin(sqrt(CASE WHEN lng1 + lat1 + lng2 + lat2 IS NOT NULL THEN least(1D, power(sin(radians(lat2 - lat1) / 2), 2)
+             + cos(radians(lat1)) * cos(radians(lat2)) * power(sin(radians(lng2 - lng1) / 2), 2)) END))""",
 }
 
 

@@ -91,8 +91,10 @@ def knn_join(left: DataFrame, right: DataFrame, k: int = 1, max_m: float | None
     Both sides: id, lng, lat. Ties go to the smaller target id. A right side proven to have at most
     ``literal_limit`` rows becomes a constant array searched inside each task, without any join.
     A larger one is searched by cells of growing size: a point leaves as soon as its ``k`` nearest
-    are certain.
+    are certain. Points without coordinates have no neighbours, and a left id that occurs several times is answered once,
+    from its point of smallest coordinates, on either way.
     """
+    left = top_k(left.select("id", "lng", "lat").dropna(subset=["lng", "lat"]), ["id"], [F.col("lng"), F.col("lat")], 1)
     targets = right.select("id", "lng", "lat").dropna()
     few = targets.limit(literal_limit + 1).collect()
     if len(few) <= literal_limit and all(isinstance(r.id, (int, str)) for r in few):

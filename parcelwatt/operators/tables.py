@@ -14,13 +14,12 @@ from parcelwatt.operators.quantile import exact_quantiles, order_statistics
 GROUP = ["archetype", "vintage", "city"]
 
 
-def build_eui_lookup(samples: DataFrame, max_n: int = 200, low: float = 5.0, high: float = 5000.0) -> DataFrame:
-    """archetype, vintage, city -> exact median, p10, p90, n over the first ``max_n`` runs by id.
+def build_eui_lookup(samples: DataFrame, max_n: int | None = None, low: float = 5.0, high: float = 5000.0) -> DataFrame:
+    """archetype, vintage, city -> exact median, p10, p90, n over all runs, or over the first ``max_n`` runs by id if given.
 
-    The sampling is part of the definition: run ids are ordered and the first ``max_n`` of a group
-    are used, then implausible EUIs are dropped.
+    Implausible EUIs are dropped after that choice.
     """
-    first = top_k(samples, GROUP, [F.col("run_id")], max_n)
+    first = samples if max_n is None else top_k(samples, GROUP, [F.col("run_id")], max_n)
     kept = first.filter((F.col("eui") > low) & (F.col("eui") < high)).withColumn("eui", half_up(F.col("eui"), 2))
     q = exact_quantiles(kept, GROUP, "eui", {"median": 0.5, "p10": 0.1, "p90": 0.9})
     return q.select(*GROUP, *[half_up(F.col(c), 1).alias(c) for c in ("median", "p10", "p90")], "n")

@@ -59,7 +59,11 @@ def read_footprints(spark: SparkSession, path: str, sigungu: str | None = None,
     if sigungu is not None:
         code = F.col("sigungu_cd") if "sigungu_cd" in df.columns else F.substring("pnu", 1, 5)
         df = df.filter(code.cast("string") == sigungu)
-    return df.dropDuplicates(["pnu"]) if "pnu" in df.columns else df
+    if "pnu" not in df.columns:
+        return df
+    # one row a key, the same at every run: the smallest by all other columns that have an order
+    ordered = [c for c, kind in df.dtypes if c != "pnu" and "map<" not in kind and "variant" not in kind]
+    return distinct_on(df, ["pnu"], [F.col(f"`{c}`").asc_nulls_last() for c in ordered]) if ordered else df.dropDuplicates(["pnu"])
 
 
 FEATURE_PAGE = "type STRING, features ARRAY<STRUCT<geometry: STRING, properties: MAP<STRING, STRING>>>"

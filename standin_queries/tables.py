@@ -10,7 +10,7 @@ from standin_queries.base import R, query, rounded, table
 from standin_queries.energy import LOOKUP, SAMPLES, lookup, samples
 
 
-@query("eui_lookup", f"""WITH {SAMPLES}, first AS (SELECT * FROM samples QUALIFY row_number() OVER (PARTITION BY archetype, vintage, city ORDER BY run_id) <= 200), v AS (SELECT *, {R('eui', 2)} AS v FROM first WHERE eui > 5 AND eui < 5000)
+@query("eui_lookup", f"""WITH {SAMPLES}, first AS (SELECT * FROM samples), v AS (SELECT *, {R('eui', 2)} AS v FROM first WHERE eui > 5 AND eui < 5000)
  SELECT archetype, vintage, city, {R('quantile_cont(v, 0.5)', 1)} AS median, {R('quantile_cont(v, 0.1)', 1)} AS p10, {R('quantile_cont(v, 0.9)', 1)} AS p90, count(*) AS n FROM v GROUP BY 1, 2, 3""")
 def eui_lookup(spark, sf):
     return T.build_eui_lookup(samples(spark, sf))
