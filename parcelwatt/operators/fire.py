@@ -37,7 +37,7 @@ COMMERCIAL = ("상업", "업무", "판매", "근린")
 
 
 def impact(reached: DataFrame, buildings: DataFrame, risk: DataFrame, residential: tuple[str, ...] = RESIDENTIAL,
-           commercial: tuple[str, ...] = COMMERCIAL, max_nodes: int = 5000) -> DataFrame:
+           commercial: tuple[str, ...] = COMMERCIAL, max_nodes: int | None = None) -> DataFrame:
     """Per scenario: affected area, counts by risk grade and use, steps, time to 100 buildings."""
     words = lambda ws: F.when(F.col("usage_type").rlike("|".join(ws)), 1)
     b = distinct_on(buildings, ["pnu"], [F.col("gid")]).select(F.col("pnu").alias("id"), "building_area", "usage_type", F.lit(1).alias("_known"))
@@ -53,7 +53,7 @@ def impact(reached: DataFrame, buildings: DataFrame, risk: DataFrame, residentia
     hundred = timeline(reached).filter(F.col("cumulative_count") >= 100).groupBy("scenario").agg(F.min("time_min").alias("time_to_100_buildings_min"))
     return stats.join(hundred, "scenario", "left").withColumns({
         "simulation_duration_min": F.col("max_step_reached") * TIME_PER_STEP_MIN,
-        "halted_due_to_limit": F.col("total_buildings") >= max_nodes,
+        "halted_due_to_limit": F.lit(False) if max_nodes is None else F.col("total_buildings") >= max_nodes,
     })
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelwatt.functions import geo, hazard
@@ -99,13 +101,13 @@ def scenario_id(pnu: Column, direction: Column, speed: Column) -> Column:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, centroids: DataFrame | None = None, threshold: float = 0.25,
-           max_steps: int = 30, max_nodes: int = 5000) -> DataFrame:
+           max_steps: int | None = None, max_nodes: int | None = None) -> DataFrame:
     """Step-wise spread from every seed at once: scenario, step, id.
 
     ``seeds``: scenario, id and, with ``centroids`` (id, lng, lat), wind_direction and wind_speed.
     A vertex is reached when the strongest weight x wind factor from the last step's vertices is at
-    least ``threshold``. A scenario stops after ``max_steps``, when nothing new is reached, or once
-    it holds ``max_nodes`` vertices before a step begins.
+    least ``threshold``. A scenario runs until nothing new is reached; if given, ``max_steps`` ends it
+    earlier, and so does ``max_nodes``, once it holds that many vertices before a step begins.
     """
     carried = ["scenario", "wind_direction", "wind_speed"] if centroids is not None else ["scenario"]
     live = edges.filter(F.col("spread_weight") > 0).select(F.col("source_pnu").alias("id"), F.col("target_pnu").alias("_to"), "spread_weight")
@@ -118,9 +120,9 @@ def spread(edges: DataFrame, seeds: DataFrame, centroids: DataFrame | None = Non
     steps = [frontier.select("scenario", F.lit(0).alias("step"), "id")]
     visited = steps[0]
     new = total = frontier.count()
-    for step in range(1, max_steps + 1):
+    for step in count(1) if max_steps is None else range(1, max_steps + 1):
         going = frontier
-        if total >= max_nodes:
+        if max_nodes is not None and total >= max_nodes:
             full = visited.groupBy("scenario").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= max_nodes)
             going = frontier.join(full.select("scenario"), "scenario", "left_anti")
         reached = live.join(small(going, new), "id")
@@ -157,11 +159,12 @@ def timeline(reached: DataFrame) -> DataFrame:
     })
 
 
-def shortest_paths(roads: DataFrame, sources: DataFrame, max_hops: int = 200, max_cost: float | None = None) -> DataFrame:
+def shortest_paths(roads: DataFrame, sources: DataFrame, max_hops: int | None = None, max_cost: float | None = None) -> DataFrame:
     """Cheapest cost from every source to every vertex in reach: source, vertex, cost, pred.
 
     ``roads``: source, target, length_m, travelled both ways. All sources relax together, one hop
-    per round, only from vertices whose cost just improved. Ties keep the smaller predecessor.
+    per round, only from vertices whose cost just improved, until none improves (or ``max_hops`` rounds, if
+    given). Among equal costs the way of fewer vertices is kept, then the smaller predecessor.
     """
     arcs = cut(
         roads.select(F.col("source").alias("vertex"), F.col("target").alias("_to"), "length_m")
@@ -172,7 +175,7 @@ def shortest_paths(roads: DataFrame, sources: DataFrame, max_hops: int = 200, ma
     none = F.lit(None).cast(arcs.schema["vertex"].dataType)
     best = cut(start.select(F.col("vertex").alias("source"), "vertex", F.lit(0.0).alias("cost"), none.alias("pred")))
     frontier, moved = best, best.count()
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         offers = arcs.join(small(frontier, moved), "vertex").select(
             "source", F.col("_to").alias("vertex"), (F.col("cost") + F.col("length_m")).alias("cost"), F.col("vertex").alias("pred")
         )
@@ -193,12 +196,12 @@ def shortest_paths(roads: DataFrame, sources: DataFrame, max_hops: int = 200, ma
     return best
 
 
-def path_vertices(paths: DataFrame, ends: DataFrame, max_hops: int = 200) -> DataFrame:
+def path_vertices(paths: DataFrame, ends: DataFrame, max_hops: int | None = None) -> DataFrame:
     """Walk predecessors back from each (source, target): source, target, seq (0 = source), vertex."""
     steps = cut(ends.join(paths.select("source", F.col("vertex").alias("target")), ["source", "target"], "left_semi")
                 .select("source", "target", F.col("target").alias("vertex"), F.lit(0).alias("back")))
     parts = [steps]
-    for i in range(1, max_hops + 1):
+    for i in count(1) if max_hops is None else range(1, max_hops + 1):
         steps = cut(
             steps.join(paths.select("source", "vertex", "pred"), ["source", "vertex"]).filter(F.col("pred").isNotNull())
             .select("source", "target", F.col("pred").alias("vertex"), F.lit(i).alias("back"))
@@ -214,7 +217,7 @@ def path_vertices(paths: DataFrame, ends: DataFrame, max_hops: int = 200) -> Dat
 
 
 def routes(roads: DataFrame, vertices: DataFrame, origins: DataFrame, shelters: DataFrame, k: int = 3,
-           max_hops: int = 200, max_cost: float | None = None) -> tuple[DataFrame, DataFrame]:
+           max_hops: int | None = None, max_cost: float | None = None) -> tuple[DataFrame, DataFrame]:
     """Shortest ways from each origin to its ``k`` nearest shelters.
 
     ``vertices`` / ``origins`` / ``shelters``: id, lng, lat. Origins and shelters enter the network at

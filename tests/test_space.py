@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from parcelwatt.functions import geo
 from parcelwatt.operators import fire, graph, spatial
@@ -197,3 +198,22 @@ def test_impact(spark):
     row = fire.impact(reached, b, r).first()
     assert (row["total_buildings"], row["total_area_m2"], row["high_risk_count"], row["medium_risk_count"], row["residential_count"], row["commercial_count"]) == (3, 15.0, 1, 1, 1, 1)
     assert row["time_to_100_buildings_min"] is None and row["simulation_duration_min"] == 5 and not row["halted_due_to_limit"]
+
+
+def test_searches_run_until_nothing_changes(spark):
+    chain = [(i, i + 1, 1.0) for i in range(300)] + [(0, 12, 100.0)]
+    roads = spark.createDataFrame([r for r in chain if r[0] < 12 or r[1] <= 12], "source long, target long, length_m double")
+    got = {r.vertex: r.cost for r in graph.shortest_paths(roads, spark.createDataFrame([(0,)], "vertex long")).collect()}
+    assert got[12] == 12.0 and len(got) == 13
+    edges = spark.createDataFrame([(str(i), str(i + 1), 1.0) for i in range(35)], "source_pnu string, target_pnu string, spread_weight double")
+    steps = graph.spread(edges, spark.createDataFrame([("s", "0")], "scenario string, id string"))
+    assert steps.count() == 36
+
+
+def test_null_coordinates_have_no_distance_and_no_neighbours(spark):
+    left = spark.createDataFrame([(1, 127.0, 37.0), (1, 127.1, 37.0), (2, None, 37.0)], "id long, lng double, lat double")
+    right = spark.createDataFrame([(10, 127.0, 37.0), (11, None, 37.0)], "id long, lng double, lat double")
+    assert left.selectExpr("id", "lng AS x", "lat AS y").crossJoin(right.limit(1)).where("x IS NULL").select(
+        geo.haversine(F.col("x"), F.col("y"), F.col("lng"), F.col("lat"))).first()[0] is None
+    for limit in (1000, 0):
+        assert [tuple(r) for r in spatial.knn_join(left, right, 1, literal_limit=limit).collect()] == [(1, 10, 0.0, 1)]
