@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from parcelwatt.llm.common import crc_mod, text_chunks
+from parcelwatt.llm.common import counted_broadcast, crc_mod, text_chunks
 
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, sample_rows: int = 1000, length: int = 400) -> Profiles
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = (docs.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
            .withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_rows).select("doc_id", "lang").distinct())
-    sample = docs.select("doc_id", "lang", "text").join(ids, ["doc_id", "lang"], "left_semi")
+    sample = docs.select("doc_id", "lang", "text").join(counted_broadcast(ids), ["doc_id", "lang"], "left_semi")
 
     def count(batches):
         for batch in batches:
