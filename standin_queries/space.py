@@ -158,8 +158,9 @@ def components(spark, sf):
 
 
 _SEEDS = "seeds AS (SELECT md5(min(id) || ':0.0:0.0') AS scenario, min(id) AS id FROM points GROUP BY label)"
-_SPREAD = f"""{EDGES}, {_SEEDS}, walk(scenario, step, id) AS (SELECT scenario, 0, id FROM seeds UNION SELECT w.scenario, w.step + 1, e.target_pnu FROM walk w JOIN edges e ON e.source_pnu = w.id WHERE e.spread_weight >= 0.25 AND w.step < 12),
- spread AS (SELECT scenario, id, min(step) AS step FROM walk GROUP BY 1, 2)"""
+_SPREAD = f"""{EDGES}, {_SEEDS}, live AS MATERIALIZED (SELECT source_pnu, target_pnu FROM edges WHERE spread_weight >= 0.25),
+ spread(scenario, step, id) USING KEY (scenario, id) AS (SELECT scenario, 0, id FROM seeds UNION SELECT w.scenario, w.step + 1, e.target_pnu FROM spread w JOIN live e ON e.source_pnu = w.id
+ LEFT JOIN recurring.spread r ON r.scenario = w.scenario AND r.id = e.target_pnu WHERE r.id IS NULL)"""
 
 
 def _seeds(spark, sf):
@@ -168,7 +169,7 @@ def _seeds(spark, sf):
 
 
 def _spread(spark, sf):
-    return graph.spread(edges(spark, sf), _seeds(spark, sf), max_steps=12)
+    return graph.spread(edges(spark, sf), _seeds(spark, sf))
 
 
 @query("spread", f"WITH RECURSIVE {_SPREAD} SELECT scenario, id, step FROM spread")
@@ -176,13 +177,14 @@ def spread(spark, sf):
     return _spread(spark, sf).select("scenario", "id", "step")
 
 
-@query("spread_wind", f"""WITH RECURSIVE {EDGES}, {_SEEDS}, wind AS (SELECT e.source_pnu, e.target_pnu, e.spread_weight * greatest(0, 1 + 0.4 * cos(radians({_BEARING.replace('s.', 't.')} - 450))) AS w FROM edges e JOIN points p ON p.id = e.source_pnu JOIN points t ON t.id = e.target_pnu),
- walk(scenario, step, id) AS (SELECT md5(id || ':270.0:8.0'), 0, id FROM seeds UNION SELECT w.scenario, w.step + 1, e.target_pnu FROM walk w JOIN wind e ON e.source_pnu = w.id WHERE e.w >= 0.25 AND w.step < 12) SELECT scenario, id, min(step) AS step FROM walk GROUP BY 1, 2""")
+@query("spread_wind", f"""WITH RECURSIVE {EDGES}, {_SEEDS}, wind AS MATERIALIZED (SELECT e.source_pnu, e.target_pnu, e.spread_weight * greatest(0, 1 + 0.4 * cos(radians({_BEARING.replace('s.', 't.')} - 450))) AS w FROM edges e JOIN points p ON p.id = e.source_pnu JOIN points t ON t.id = e.target_pnu),
+ walk(scenario, step, id) USING KEY (scenario, id) AS (SELECT md5(id || ':270.0:8.0'), 0, id FROM seeds UNION SELECT w.scenario, w.step + 1, e.target_pnu FROM walk w JOIN wind e ON e.source_pnu = w.id
+ LEFT JOIN recurring.walk r ON r.scenario = w.scenario AND r.id = e.target_pnu WHERE e.w >= 0.25 AND r.id IS NULL) SELECT scenario, id, step FROM walk""")
 def spread_wind(spark, sf):
     p = points(spark, sf)
     s = p.groupBy("label").agg(F.min("id").alias("id")).select("id", F.lit(270.0).alias("wind_direction"), F.lit(8.0).alias("wind_speed"))
     s = s.withColumn("scenario", graph.scenario_id(F.col("id"), F.col("wind_direction"), F.col("wind_speed")))
-    return graph.spread(edges(spark, sf), s, p.select("id", "lng", "lat"), max_steps=12).select("scenario", "id", "step")
+    return graph.spread(edges(spark, sf), s, p.select("id", "lng", "lat")).select("scenario", "id", "step")
 
 
 @query("spread_timeline", f"WITH RECURSIVE {_SPREAD} SELECT scenario, step, count(*) AS new_count, step * 5 AS time_min, CAST(sum(count(*)) OVER (PARTITION BY scenario ORDER BY step) AS BIGINT) AS cumulative_count FROM spread GROUP BY 1, 2")
@@ -205,29 +207,31 @@ def impact_stats(spark, sf):
     return df.select("scenario", "total_buildings", "total_area_m2", "high_risk_count", "medium_risk_count", "residential_count", "commercial_count", "max_step_reached")
 
 
-_HOPS = 8
+# cheapest ways from every src until none improves; a vertex keeps its best cost
+_WAYS = """ways(s, v, c) USING KEY (s, v) AS (SELECT s, s, 0::DOUBLE FROM src UNION SELECT w.s, b, min(w.c + d) FROM ways w JOIN arcs ON a = w.v
+ LEFT JOIN recurring.ways r ON r.s = w.s AND r.v = b GROUP BY w.s, b, r.c HAVING r.c IS NULL OR min(w.c + d) < r.c)"""
 
 
-@query("shortest_paths", f"""WITH RECURSIVE {PAIRS}, arcs AS (SELECT id_a AS a, id_b AS b, distance_m AS d FROM pairs UNION ALL SELECT id_b, id_a, distance_m FROM pairs), src AS (SELECT min(id) AS s FROM points GROUP BY label),
- walk(s, v, c, h) AS (SELECT s, s, 0::DOUBLE, 0 FROM src UNION ALL SELECT s, b, min(c + d), h + 1 FROM walk JOIN arcs ON a = v WHERE h < {_HOPS} GROUP BY s, b, h) SELECT s AS source, v AS vertex, {R('min(c)', 4)} AS cost FROM walk GROUP BY 1, 2""")
+@query("shortest_paths", f"""WITH RECURSIVE {PAIRS}, arcs AS MATERIALIZED (SELECT id_a AS a, id_b AS b, distance_m AS d FROM pairs UNION ALL SELECT id_b, id_a, distance_m FROM pairs), src AS (SELECT min(id) AS s FROM points GROUP BY label),
+ {_WAYS} SELECT s AS source, v AS vertex, {R('c', 4)} AS cost FROM ways""")
 def shortest_paths(spark, sf):
     roads = spatial.distance_pairs(points(spark, sf), RADIUS).toDF("source", "target", "length_m")
     src = points(spark, sf).groupBy("label").agg(F.min("id").alias("vertex"))
-    return rounded(graph.shortest_paths(roads, src, _HOPS).drop("pred"), 4, "cost")
+    return rounded(graph.shortest_paths(roads, src).drop("pred"), 4, "cost")
 
 
 @query("routes", f"""WITH RECURSIVE {PAIRS}, stations AS (SELECT CAST(label AS BIGINT) AS id, {R('avg(lng)', 6)} AS lng, {R('avg(lat)', 6)} AS lat FROM points GROUP BY 1),
- arcs AS (SELECT id_a AS a, id_b AS b, distance_m AS d FROM pairs UNION ALL SELECT id_b, id_a, distance_m FROM pairs), org AS (SELECT min(id) AS id FROM points GROUP BY label),
+ arcs AS MATERIALIZED (SELECT id_a AS a, id_b AS b, distance_m AS d FROM pairs UNION ALL SELECT id_b, id_a, distance_m FROM pairs), org AS (SELECT min(id) AS id FROM points GROUP BY label),
  snap AS (SELECT s.id AS shelter, p.id AS v FROM stations s CROSS JOIN points p QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY {HAVERSINE('s', 'p')}, p.id) = 1),
  pick AS (SELECT p.id AS origin, s.id AS shelter FROM org JOIN points p ON p.id = org.id CROSS JOIN stations s QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY {HAVERSINE('p', 's')}, s.id) <= 5),
- walk(s, v, c, h) AS (SELECT id, id, 0::DOUBLE, 0 FROM org UNION ALL SELECT s, b, min(c + d), h + 1 FROM walk JOIN arcs ON a = v WHERE h < 15 GROUP BY s, b, h), best AS (SELECT s, v, min(c) AS c FROM walk GROUP BY 1, 2)
- SELECT origin, shelter, {R('c', 4)} AS distance_m FROM pick JOIN snap USING (shelter) JOIN best ON best.s = origin AND best.v = snap.v WHERE origin <> snap.v""")
+ src AS (SELECT id AS s FROM org), {_WAYS}
+ SELECT origin, shelter, {R('c', 4)} AS distance_m FROM pick JOIN snap USING (shelter) JOIN ways ON ways.s = origin AND ways.v = snap.v WHERE origin <> snap.v""")
 def routes(spark, sf):
     p = points(spark, sf).select("id", "lng", "lat", "label")
     roads = spatial.distance_pairs(p, RADIUS).toDF("source", "target", "length_m")
     first = p.groupBy("label").agg(F.min("id").alias("id"))
     origins = p.drop("label").join(first.select("id"), "id")
-    summary, _ = graph.routes(roads, p.drop("label"), origins, stations(spark, sf), k=5, max_hops=15)
+    summary, _ = graph.routes(roads, p.drop("label"), origins, stations(spark, sf), k=5)
     return rounded(summary, 4, "distance_m")
 
 
