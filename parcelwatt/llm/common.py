@@ -70,10 +70,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct())
     if not maps:
         return pairs.selectExpr("a AS v", "b AS root")
+    # cut at every step: the optimizer's time and memory grow steeply with a chain of outer joins
     label = maps[-1]
     for earlier in reversed(maps[:-1]):
-        label = earlier.alias("x").join(label.alias("y"), F.col("x.p") == F.col("y.v"), "left").select(
-            "x.v", F.coalesce("y.p", "x.p").alias("p"))
-    label = cut(label)
+        label = cut(earlier.alias("x").join(label.alias("y"), F.col("x.p") == F.col("y.v"), "left").select(
+            "x.v", F.coalesce("y.p", "x.p").alias("p")))
     lowest = label.groupBy("p").agg(F.min("v").alias("root"))
     return label.join(lowest, "p").select("v", "root")
