@@ -114,7 +114,7 @@ def cluster_summary(members: DataFrame, min_pts: int = 5) -> DataFrame:
     )
 
 
-def largest_clusters(summary: DataFrame, limit: int = 2000) -> DataFrame:
+def largest_clusters(summary: DataFrame, limit: int) -> DataFrame:
     return summary.orderBy(F.col("building_count").desc(), F.col("cluster")).limit(limit)
 
 

@@ -242,7 +242,7 @@ def regression_metrics(df: DataFrame, actual: str = "actual_eui", predicted: str
     )
 
 
-def history(predictions: DataFrame, keys: DataFrame, limit: int = 90) -> DataFrame:
+def history(predictions: DataFrame, keys: DataFrame, limit: int) -> DataFrame:
     """The newest ``limit`` predictions of every requested parcel."""
     wanted = predictions.join(keys.select("pnu").distinct(), "pnu", "left_semi")
     return top_k(wanted, ["pnu"], [F.col("predicted_at").desc(), F.col("model_version_id").desc()], limit)

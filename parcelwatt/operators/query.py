@@ -81,7 +81,7 @@ def by_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
     return distinct_on(hit, ["pnu"], [F.col("gid")]).select("pnu", F.col("cx").alias("lng"), F.col("cy").alias("lat"))
 
 
-def top_risk(risk: DataFrame, limit: int = 5000) -> DataFrame:
+def top_risk(risk: DataFrame, limit: int) -> DataFrame:
     return risk.orderBy(F.col("total_score").desc_nulls_last(), F.col("pnu").asc_nulls_last()).limit(limit)
 
 
@@ -90,8 +90,8 @@ def sample_hash(df: DataFrame, n: int, seed: int = 42, key: str = "pnu") -> Data
     return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
 
 
-def overlay(centroids: DataFrame, results: DataFrame, buildings: DataFrame, kind: str, bbox, n: int | None = 5000, seed: int = 42) -> DataFrame:
-    """Map points inside ``bbox``: ``co2``, ``zeb`` or ``hourly`` (daily EUI), sampled to ``n`` (None: all)."""
+def overlay(centroids: DataFrame, results: DataFrame, buildings: DataFrame, kind: str, bbox, n: int | None = None, seed: int = 42) -> DataFrame:
+    """Map points inside ``bbox``: ``co2``, ``zeb`` or ``hourly`` (daily EUI), sampled to ``n`` where given."""
     pick = lambda df: df if n is None else sample_hash(df, n, seed)
     west, south, east, north = geo.check_bbox(bbox)
     points = centroids.filter(geo.in_bbox(F.col("lng"), F.col("lat"), west, south, east, north))
@@ -140,10 +140,16 @@ def list_filters(df: DataFrame, sigungu: str | None, vintage: str | None, usage:
     return df
 
 
+def _of_keys(buildings: DataFrame, results: DataFrame, keys: DataFrame) -> DataFrame:
+    """One building of each key with its current result; both sides are reduced to the keys before they are ranked."""
+    wanted = keys.distinct()
+    hit = distinct_on(buildings.join(wanted, "pnu", "left_semi"), ["pnu"], [F.col("gid")])
+    return with_current(hit, results.join(wanted, "pnu", "left_semi"))
+
+
 def detail(buildings: DataFrame, results: DataFrame, keys: DataFrame) -> DataFrame:
     """Attributes, energy breakdown and envelope of the requested parcels (one row per parcel)."""
-    hit = buildings.join(keys.select("pnu").distinct(), "pnu", "left_semi")
-    df = with_current(distinct_on(hit, ["pnu"], [F.col("gid")]), results)
+    df = _of_keys(buildings, results, keys.select("pnu"))
     have = set(df.columns)
     part = lambda names: F.struct(*[n for n in names if n in have])
     value = eui(F.col("total_energy"), F.col("total_area"), F.col("simulation_type"))
@@ -158,7 +164,7 @@ def detail(buildings: DataFrame, results: DataFrame, keys: DataFrame) -> DataFra
 
 def compare_pair(buildings: DataFrame, results: DataFrame, pairs: DataFrame) -> DataFrame:
     """Second minus first building for every (pnu1, pnu2) in ``pairs``; nulls where a value is missing."""
-    df = with_current(distinct_on(buildings, ["pnu"], [F.col("gid")]), results)
+    df = _of_keys(buildings, results, pairs.select(F.explode(F.array("pnu1", "pnu2")).alias("pnu")))
     measures = ("eui_kwh_m2", "co2_kg_m2", "total_area", "built_year")
     df = df.withColumn("eui_kwh_m2", eui(F.col("total_energy"), F.col("total_area"), F.col("simulation_type")))
     side = lambda i: df.select(F.col("pnu").alias(f"pnu{i}"), F.struct(*measures).alias(f"b{i}"))

@@ -153,13 +153,17 @@ def allow_encoding(spark: SparkSession, encoding: str) -> str:
     return encoding
 
 
-def detect_encoding(spark: SparkSession, path: str, sample: int = 1000) -> str:
-    """First encoding whose sample lines decode without replacement characters."""
-    def bad(enc: str) -> int:
-        lines = spark.read.option("encoding", allow_encoding(spark, enc)).option("header", False).csv(path).limit(sample)
-        return lines.filter(reduce(lambda a, b: a | b, [F.coalesce(F.col(c).contains("�"), F.lit(False)) for c in lines.columns])).count()
-
-    return next((e for e in ENCODINGS if bad(e) == 0), ENCODINGS[0])
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """First encoding in which no line of the file holds a replacement character; an error if there is none."""
+    def fits(enc: str) -> bool:
+        lines = spark.read.option("encoding", allow_encoding(spark, enc)).option("header", False).csv(path)
+        bad = [F.coalesce(F.col(c).contains("�"), F.lit(False)) for c in lines.columns]
+        return not bad or lines.filter(reduce(lambda a, b: a | b, bad)).isEmpty()
+
+    found = next((e for e in ENCODINGS if fits(e)), None)
+    if found is None:
+        raise ValueError(f"{path} is in none of {', '.join(ENCODINGS)}; name its encoding")
+    return found
 
 
 def read_ledger_csv(spark: SparkSession, path: str, encoding: str | None = None, sigungu: str | None = None,

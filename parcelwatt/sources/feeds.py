@@ -95,8 +95,8 @@ SHELTER_PAGE = (
 )
 
 
-def read_shelters(spark: SparkSession, path: str) -> DataFrame:
-    """Shelters inside the plausible box, capacity as a number or null."""
+def read_shelters(spark: SparkSession, path: str, bbox: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Shelters, capacity as a number or null; with ``bbox`` (west, south, east, north) only those inside it."""
     pages = spark.read.schema(SHELTER_PAGE).option("multiLine", True).json(path)
     r = pages.select(F.explode("TBSHLTRRSVTBSH.row").alias("r")).select("r.*")
     df = r.select(
@@ -104,7 +104,7 @@ def read_shelters(spark: SparkSession, path: str) -> DataFrame:
         F.col("XCRD").try_cast("int").alias("capacity"), F.coalesce("REFINE_ROADNM_ADDR", F.lit("")).alias("address"),
         F.col("REFINE_WGS84_LOGT").try_cast("double").alias("lng"), F.col("REFINE_WGS84_LAT").try_cast("double").alias("lat"),
     )
-    return df.filter(in_bbox(F.col("lng"), F.col("lat"), 126.5, 37.3, 127.5, 37.8))
+    return df if bbox is None else df.filter(in_bbox(F.col("lng"), F.col("lat"), *bbox))
 
 
 MONTHLY_PAGE = "pnu STRING, useYm STRING, useQty STRING, elecUseQnt STRING, gasUseQnt STRING"
@@ -123,10 +123,12 @@ CERTIFICATE_PAGE = (
 )
 
 
-def read_certificates(spark: SparkSession, path: str, region: str = "서울") -> DataFrame:
-    """Efficiency certificates of a region with an address and a numeric demand."""
+def read_certificates(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
+    """Efficiency certificates with an address and a numeric demand, of one region where given."""
     pages = spark.read.schema(CERTIFICATE_PAGE).option("multiLine", True).json(path)
-    i = pages.select(F.explode("response.body.items.item").alias("i")).select("i.*").filter(F.col("RGN_SCT_NAME") == region)
+    i = pages.select(F.explode("response.body.items.item").alias("i")).select("i.*")
+    if region is not None:
+        i = i.filter(F.col("RGN_SCT_NAME") == region)
     df = i.select(
         filled(F.col("LOC_ADDR")).alias("address"), F.col("W_1ST_ENERGY_REQUIRE6").try_cast("double").alias("eui"),
         F.col("BLD_NM").alias("bld_nm"), F.col("GRD_NAME").alias("grade"),

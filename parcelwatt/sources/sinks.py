@@ -22,14 +22,25 @@ def rebalanced(df: DataFrame, *columns: str) -> DataFrame:
 
 def write_snapshot(df: DataFrame, path: str) -> None:
     """Replace the table at ``path``: written beside it first, then swapped, so readers of the old
-    snapshot (also ``df`` itself) are complete before it goes."""
-    spark, beside = df.sparkSession, path.rstrip("/") + ".next"
-    df.write.mode("overwrite").parquet(beside)
+    snapshot (also ``df`` itself) are complete before it goes.
+
+    The old table is moved aside and deleted only once the new one is in place; if that fails it is moved back.
+    A run that died between the moves leaves it at ``path``.old, and the next run brings it back first."""
+    spark = df.sparkSession
     target, fs, jvm = _fs(spark, path)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(beside), target):
+    beside, old = (jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end) for end in (".next", ".old"))
+    if fs.exists(old) and not fs.exists(target):
+        fs.rename(old, target)
+    df.write.mode("overwrite").parquet(beside.toString())
+    fs.delete(old, True)
+    replaced = fs.exists(target)
+    if replaced and not fs.rename(target, old):
+        raise OSError(f"could not move the old snapshot at {path} aside")
+    if not fs.rename(beside, target):
+        if replaced:
+            fs.rename(old, target)
         raise OSError(f"could not move the new snapshot to {path}")
+    fs.delete(old, True)
 
 
 def write_readings(df: DataFrame, path: str, when: str = "recorded_at", mode: str = "append") -> None:

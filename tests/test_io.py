@@ -2,6 +2,7 @@ import datetime as dt
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from parcelwatt import dims
@@ -76,7 +77,8 @@ def test_weather_and_shelters(spark, tmp_path):
     assert [(r["grid_x"], r["wind_direction"], r["wind_speed"], r["measured_at"]) for r in rows] == [(60, 350.0, 2.5, dt.datetime(2025, 1, 1, 6))]
     shelter = lambda x, cap: {"FCLT_NM": "s", "XCRD": cap, "REFINE_WGS84_LOGT": x, "REFINE_WGS84_LAT": "37.5"}
     page = {"TBSHLTRRSVTBSH": {"row": [shelter("127.0", "30"), shelter("127.0", "many"), shelter("140", "1"), shelter("", "1")]}}
-    assert [r["capacity"] for r in feeds.read_shelters(spark, write(tmp_path / "s.json", json.dumps(page))).collect()] == [30, None]
+    assert [r["capacity"] for r in feeds.read_shelters(spark, write(tmp_path / "s.json", json.dumps(page)), (126.5, 37.3, 127.5, 37.8)).collect()] == [30, None]
+    assert feeds.read_shelters(spark, str(tmp_path / "s.json")).count() == 4
     assert dims.shelters(spark).count() == 35 and dims.stations(spark).count() == 25
 
 
@@ -88,7 +90,7 @@ def test_energy_feeds(spark, tmp_path):
     row = energy.from_monthly(b, monthly).first()
     assert (row["total_energy"], row["heating"], row["data_tier"]) == (3.6, 1.08, 1)
     cert = {"response": {"body": {"items": {"item": [{"RGN_SCT_NAME": "서울", "LOC_ADDR": "x 1", "W_1ST_ENERGY_REQUIRE6": "120.5", "BLD_NM": "n", "GRD_NAME": "1"}, {"RGN_SCT_NAME": "부산", "LOC_ADDR": "x", "W_1ST_ENERGY_REQUIRE6": "1"}, {"RGN_SCT_NAME": "서울", "LOC_ADDR": "", "W_1ST_ENERGY_REQUIRE6": "1"}]}}}}
-    got = feeds.read_certificates(spark, write(tmp_path / "c.json", json.dumps(cert)))
+    got = feeds.read_certificates(spark, write(tmp_path / "c.json", json.dumps(cert)), "서울")
     assert [(r["address"], r["eui"]) for r in got.collect()] == [("x 1", 120.5)]
     assert energy.from_certificates(got.withColumns({"pnu": F.lit("p"), "usage_type": F.lit("업무시설")})).first()["heating"] == 36.15
     sim = "\n".join(json.dumps(x) for x in ({"ems": "E0", "building": "Hotel", "city": "Seoul", "validation": {"valid": True, "energy_j": 3.6e6 * 11345}}, {"ems": "E0", "building": "Hotel", "city": "Seoul"}))
@@ -120,7 +122,23 @@ def test_snapshot_can_read_itself(spark, tmp_path):
     path = str(tmp_path / "s")
     sinks.write_snapshot(spark.range(3), path)
     sinks.write_snapshot(spark.read.parquet(path).filter("id > 0"), path)
-    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2] and not os.path.exists(path + ".next")
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [1, 2] and not os.path.exists(path + ".next") and not os.path.exists(path + ".old")
+
+
+def test_snapshot_survives_a_broken_swap(spark, tmp_path):
+    path = str(tmp_path / "s")
+    sinks.write_snapshot(spark.range(3), path)
+    os.rename(path, path + ".old")  # where a run that died between the two moves leaves it
+    sinks.write_snapshot(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5 and not os.path.exists(path + ".old")
+
+
+def test_encoding_is_decided_on_the_whole_file(spark, tmp_path):
+    lines = ["a,b"] * 1500 + ["가,나"]
+    assert B.detect_encoding(spark, write(tmp_path / "k.csv", "\n".join(lines), "euc-kr")) == "MS949"
+    (tmp_path / "x.csv").write_bytes(b"a,b\n\xff\xff\xff,1\n")
+    with pytest.raises(ValueError):
+        B.detect_encoding(spark, str(tmp_path / "x.csv"))
 
 
 def test_exports(spark, tmp_path):
@@ -148,6 +166,14 @@ def test_audit_rows(spark, tmp_path):
     assert rows["success"]["rows_upserted"] == 5 and rows["success"]["params"] == '{"n": 3}' and rows["failed"]["error_message"] == "no data"
 
 
+def test_audit_does_not_wait_for_an_unwritten_frame(spark, tmp_path):
+    path = str(tmp_path / "audit")
+    with audit.record(spark, path, "idle", wait=1.0) as run:
+        run.watch(spark.range(5))
+    row = spark.read.parquet(path).first()
+    assert row["status"] == "success" and row["rows_upserted"] is None
+
+
 def test_refresh_and_estimates(spark, tmp_path):
     paths = {k: str(tmp_path / k) for k in ("footprints", "ledger", "buildings", "centroids", "risk")}
     fp = [(1, "1" * 19, "n", "업무시설", 5, 0, None, "20050101", 127.0, 37.5), (2, "2" * 19, "m", "공동주택", 3, 0, None, "", 127.1, 37.6)]
