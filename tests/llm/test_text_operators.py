@@ -323,6 +323,28 @@ def test_pseudo_likelihood(docs, edges, none):
     assert pseudolm.score(none, pseudolm.fit(none)).count() == 0
 
 
+def test_pseudo_likelihood_trains_on_every_word(spark, monkeypatch):  # noqa: F811
+    import inspect
+
+    rounds = inspect.signature(pseudolm.fit).parameters["rounds"].default
+    for text, n in (("a", 1), ("one two three", 3), ("w " * 1000, 1000)):
+        assert sorted(i for r in range(rounds) for i in pseudolm.targets(text, n, r, rounds)) == list(range(n))
+    sizes = [1, 3, 23, 100, 0, 5000]
+    frame = spark.createDataFrame([(" ".join(f"t{i}w{j % 7}" for j in range(n)),) for i, n in enumerate(sizes)] + [(None,)], "text string").coalesce(1)
+    seen, runs, step = [], [], pseudolm.fit_step
+
+    def counted(p, squares, target, context, rate):
+        seen.append(len(target))
+        step(p, squares, target, context, rate)
+
+    monkeypatch.setattr(pseudolm, "fit_step", counted)
+    monkeypatch.setattr(type(frame), "mapInPandas", lambda self, f, schema: runs.append(f) or spark.createDataFrame([], schema))
+    pseudolm.fit(frame)
+    for run in runs:
+        list(run([frame.toPandas()]))
+    assert sum(seen) == sum(sizes)
+
+
 def test_html_blocks_and_tree(spark):  # noqa: F811
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     import html as h
