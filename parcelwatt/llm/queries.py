@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parcelwatt.llm import htmltext, langid, mixing, neargraph, packing, pii, pivots, pseudolm, simhash, toxicity
-from parcelwatt.llm.common import table
+from parcelwatt.llm.common import cut, table
 
 
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,8 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudolm.score(docs, pseudolm.fit(docs)).select("doc_id", "n_words", "log_prob", "mean_log_prob")
+    counts = cut(pseudolm.word_counts(docs))
+    return pseudolm.score(docs, pseudolm.fit(docs, counts=counts), counts).select("doc_id", "n_words", "log_prob", "mean_log_prob")
 
 
 QUERIES = {

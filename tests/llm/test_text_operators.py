@@ -345,6 +345,33 @@ def test_pseudo_likelihood_trains_on_every_word(spark, monkeypatch):  # noqa: F8
     assert sum(seen) == sum(sizes)
 
 
+def test_pseudo_likelihood_shares_of_buckets(spark, docs, edges):  # noqa: F811
+    counts = {r["word"]: r["n"] for r in pseudolm.word_counts(docs).collect()}
+    vocabulary = pseudolm.Vocabulary([w for w, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))])
+    model, bucket = (vocabulary, pseudolm.initial()), lambda w: zlib.crc32(w.encode()) % pseudolm.BUCKETS
+    held: dict = {}
+    for w, n in counts.items():
+        if w not in vocabulary.number:
+            held.setdefault(bucket(w), []).append(n)
+    share = lambda w: (counts.get(w, 0) + 0.5) / (sum(held.get(bucket(w), [])) + 0.5 * (len(held.get(bucket(w), [])) + 1))
+    assert held
+    seen = next(w for w in counts if w not in vocabulary.number)
+    junk = next(w for i in range(10**6) if bucket(w := f"junk{i}") == bucket(seen))
+    own = [(i, t) for i, t in enumerate([seen, junk, None, "", f"{junk}\u00a0x {seen}", *(r["text"] for r in docs.limit(60).collect())])] + [(1, junk), (None, junk)]
+    frame = spark.createDataFrame(own, "doc_id long, text string")
+    frame_counts = spark.createDataFrame(list(counts.items()), "word string, n long")
+    plain = {r["text"]: r for r in pseudolm.score(frame, model).collect()}
+    got = pseudolm.score(frame, model, frame_counts)
+    assert got.columns == ["doc_id", "text", "n_words", "log_prob", "mean_log_prob"] and got.count() == len(own)
+    for r in got.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", (r["text"] or "").lower())
+        want = plain[r["text"]]["log_prob"] + sum(np.log(share(w)) for w in words if w not in vocabulary.number)
+        assert r["n_words"] == len(words) and r["log_prob"] == pytest.approx(want, rel=1e-5)
+    of = {r["text"]: r["log_prob"] for r in got.collect()}
+    assert plain[seen]["log_prob"] == plain[junk]["log_prob"] and of[seen] > of[junk]
+    assert pseudolm.score(edges, model, frame_counts).count() == len(EDGE_ROWS)
+
+
 def test_html_blocks_and_tree(spark):  # noqa: F811
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     import html as h
