@@ -1,11 +1,13 @@
 r"""Personal data by fixed patterns and by bootstrapped contexts, in DataFrame functions only.
 
 Base spans of four kinds are found by fixed patterns (leftmost, not overlapping within a kind; a match that fails its check is
-dropped). They seed a bootstrap: every token with a digit or an at sign is an instance, and the words around it are its
+dropped). They seed a bootstrap: every token with a digit or an at sign is an instance, neighbouring tokens of digits without
+letters are one (unless punctuation ends the first, or a base span touches only one of them), and the words around it are its
 patterns (two words before; one before and one after; two after). A pattern's confidence in a kind is the share of its distinct
 instances that are held to be of that kind, shrunk by ``prior`` unbelieving instances; an instance's score is the noisy-or of
-its patterns. Both are scored in turn over the pattern-instance graph, and tokens that no base span touches become spans of a
-kind where a pattern with ``support`` seed instances gives them a score of ``confidence``.
+its patterns. Both are scored in turn over the pattern-instance graph until nothing changes. A pattern counts with ``support``
+instances believed so far: seeds, and those that a pattern of confidence ``confidence`` has shown; so what was found supports
+further patterns. Instances that no base span touches become spans of a kind where such a pattern shows them.
 
 Graph rows are distinct (pattern, instance) pairs over distinct texts, so neither copies of a text nor a frequent pattern
 make one task's work grow: all sums are partial aggregates, and joins are left to adaptive skew handling.
@@ -56,21 +58,22 @@ def _valid(kind: str, value: Column) -> Column:
 
 
 def _matches(text: Column, pattern: str, hint: str, context: int = 0) -> Column:
-    """array of (start, stop, value[, left, right]) of all matches: the texts between matches, from a split at the same pattern, give the positions."""
-    fields = "start:int,stop:int,value:string" + (",left:string,right:string" if context else "")
+    """array of (start, stop, value[, before, after]: up to ``context`` words in lower case) of all matches: the texts between matches, from a split at the same pattern, give the positions."""
+    fields = "start:int,stop:int,value:string" + (",before:array<string>,after:array<string>" if context else "")
     kind = f"array<struct<{fields}>>"
     between = F.split(text, pattern, -1)
     # one element for each match and one for the text after the last; the aggregate reads each array once
     arrays = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.transform(between, F.length).alias("gap")]
     if context:
-        arrays.append(F.transform(between, lambda g: F.right(g, F.lit(context))).alias("left"))
-        arrays.append(F.slice(F.transform(between, lambda g: F.left(g, F.lit(context))), 2, 2_000_000_000).alias("right"))
+        last = lambda g: F.slice(_words(g), F.greatest(F.size(_words(g)) - context + 1, F.lit(1)), F.lit(context))
+        arrays.append(F.transform(between, last).alias("before"))
+        arrays.append(F.slice(F.transform(between, lambda g: F.slice(_words(g), 1, context)), 2, 2_000_000_000).alias("after"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(state, m):
         begin = state["at"] + m["gap"]
         stop = begin + F.coalesce(F.length(m["value"]), F.lit(0))
-        one = F.struct(begin.alias("start"), stop.alias("stop"), m["value"].alias("value"), *([m["left"].alias("left"), m["right"].alias("right")] if context else []))
+        one = F.struct(begin.alias("start"), stop.alias("stop"), m["value"].alias("value"), *([m["before"].alias("before"), m["after"].alias("after")] if context else []))
         return F.struct(stop.alias("at"), F.when(m["value"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(one)).cast(kind)).alias("out"))
 
     spans = F.aggregate(F.arrays_zip(*arrays), start, step, lambda s: s["out"])
@@ -100,7 +103,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """doc_id, digest, base (sorted spans) and tokens of every row; no text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     read = docs.select("doc_id", text.alias("t")).select(
-        "doc_id", F.sha2("t", 256).alias("digest"), *(v.alias(k) for k, v in base_spans(F.col("t")).items()), _matches(F.col("t"), TOKEN, "", 48).alias("tokens"))
+        "doc_id", F.sha2("t", 256).alias("digest"), *(v.alias(k) for k, v in base_spans(F.col("t")).items()), _matches(F.col("t"), TOKEN, "", 2).alias("tokens"))
     base = F.array_sort(F.concat(*(_span_type(F.col(k), i) for i, k in enumerate(KINDS))))
     return read.select("doc_id", "digest", base.alias("base"), "tokens")
 
@@ -109,11 +112,35 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _joined(scanned: DataFrame) -> DataFrame:
+    """digest, tokens of every distinct text that has some: neighbouring tokens of digits as one; touch is the first base span on it."""
+    touch = lambda t: F.try_element_at(F.filter("base", lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"])), F.lit(1))
+    once = scanned.where(F.size("tokens") > 0).select("digest", "base", "tokens").dropDuplicates(["digest"])
+    marked = once.select("digest", F.transform("tokens", lambda t: F.struct(
+        *(t[c].alias(c) for c in ("start", "stop", "value", "before", "after")), touch(t).alias("touch"))).alias("tokens"))
+    token = lambda i: F.element_at("tokens", i)
+    number = lambda t: ~t["value"].rlike(r"[\p{L}@]")
+
+    def begins(i):
+        t, p = token(i), token(F.greatest(i - 1, F.lit(1)))
+        return (i == 1) | (F.size(t["before"]) > 0) | ~number(t) | ~number(p) | p["value"].rlike(r"[.,;:!?]$") | ~t["touch"].eqNullSafe(p["touch"])
+
+    # positions of the first tokens as a column of their own, so that they are found once a text
+    heads = marked.select("digest", "tokens", F.filter(F.sequence(F.lit(1), F.size("tokens")), begins).alias("heads"))
+
+    def united(h, k):
+        end = F.coalesce(F.try_element_at("heads", k + 2) - 1, F.size("tokens"))
+        value = F.array_join(F.transform(F.slice("tokens", h, end - h + 1), lambda t: t["value"]), " ")
+        return F.struct(token(h)["start"].alias("start"), token(end)["stop"].alias("stop"), value.alias("value"),
+                        token(h)["before"].alias("before"), token(end)["after"].alias("after"), token(h)["touch"].alias("touch"))
+
+    return heads.select("digest", F.transform("heads", united).alias("tokens"))
+
+
 def mentions(scanned: DataFrame) -> DataFrame:
-    """One row per token of every distinct text: digest, start, stop, value, kind (null if no base span touches it), patterns."""
-    tokens = scanned.where(F.size("tokens") > 0).select("digest", "base", "tokens").dropDuplicates(["digest"]).select("digest", "base", F.explode("tokens").alias("m"))
-    touching = F.filter("base", lambda b: (b["start"] < F.col("m.stop")) & (b["stop"] > F.col("m.start")))
-    before, after = _words(F.col("m.left")), _words(F.col("m.right"))
+    """One row per instance of every distinct text: digest, start, stop, value, kind (null if no base span touches it), patterns."""
+    tokens = _joined(scanned).select("digest", F.explode("tokens").alias("m"))
+    before, after = F.col("m.before"), F.col("m.after")
     at = lambda words, i: F.coalesce(F.try_element_at(words, F.lit(i)), F.lit("|"))
     patterns = F.array(
         F.concat_ws(" ", at(before, -2), at(before, -1), F.lit("_")),
@@ -122,29 +149,38 @@ def mentions(scanned: DataFrame) -> DataFrame:
     # lexical patterns only: two words of context, neither of them an instance or the edge of the text
     patterns = F.filter(patterns, lambda p: ~p.rlike(r"[0-9@]|(^| )\|( |$)"))
     return tokens.select("digest", F.col("m.start").alias("start"), F.col("m.stop").alias("stop"), F.col("m.value").alias("value"),
-                         F.try_element_at(touching, F.lit(1))["kind"].alias("kind"), patterns.alias("patterns"))
+                         F.col("m.touch.kind").alias("kind"), patterns.alias("patterns"))
 
 
-def discover(scanned: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8, prior: float = 1.0) -> DataFrame:
-    """digest, start, kind, stop of the tokens that confident patterns show to be personal data."""
-    found = cut(mentions(scanned))
+def discover(scanned: DataFrame, rounds: int | None = None, support: int = 5, confidence: float = 0.8, prior: float = 1.0) -> DataFrame:
+    """digest, start, kind, stop of the instances that confident patterns show to be personal data; ``rounds`` limits the growth."""
+    found, every = cut(mentions(scanned)), range(len(KINDS))
     # an instance is a value; it seeds a kind if most of its mentions are base spans of that kind
-    shares = [F.avg(F.when(F.col("kind") == i, 1.0).otherwise(0.0)).alias(f"s{i}") for i in range(len(KINDS))]
+    shares = [F.avg(F.when(F.col("kind") == i, 1.0).otherwise(0.0)).alias(f"s{i}") for i in every]
     seeds = found.groupBy(F.xxhash64("value").alias("instance")).agg(*shares)
-    seeds = cut(seeds.select("instance", *(F.when(F.col(f"s{i}") > 0.5, 1.0).otherwise(0.0).alias(f"s{i}") for i in range(len(KINDS)))))
+    seeds = cut(seeds.select("instance", *(F.when(F.col(f"s{i}") > 0.5, 1.0).otherwise(0.0).alias(f"s{i}") for i in every)))
     graph = found.select(F.explode("patterns").alias("pattern"), F.xxhash64("value").alias("instance")).distinct()
-    # a pattern without enough seeds can never count, whatever its instances turn out to be
-    seeded = [F.sum(f"s{i}").alias(f"n{i}") for i in range(len(KINDS))]
-    usable = graph.join(seeds, "instance").groupBy("pattern").agg(*seeded).where(F.greatest(*(f"n{i}" for i in range(len(KINDS)))) >= support)
-    graph = cut(graph.join(usable, "pattern"))
-    score = seeds
-    for _ in range(rounds):
-        belief = [F.when(F.first(f"n{i}") >= support, F.sum(f"s{i}") / (F.count(F.lit(1)) + prior)).otherwise(0.0).alias(f"c{i}") for i in range(len(KINDS))]
-        patterns = cut(graph.join(score, "instance").groupBy("pattern").agg(*belief))
-        doubt = [F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col(f"c{i}")))).alias(f"l{i}") for i in range(len(KINDS))]
-        judged = graph.select("pattern", "instance").join(patterns, "pattern").groupBy("instance").agg(*doubt)
-        score = cut(seeds.join(judged, "instance", "left").select("instance", *(
-            F.greatest(f"s{i}", F.coalesce(1 - F.exp(f"l{i}"), F.lit(0.0))).alias(f"s{i}") for i in range(len(KINDS)))))
+    # a pattern of too few instances can never count, whatever they turn out to be
+    usable = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= support)
+    graph = cut(graph.join(usable, "pattern").select("pattern", "instance"))
+    score = seeds.select("*", *(F.col(f"s{i}").alias(f"b{i}") for i in every))  # s: score, b: 1 if believed
+    done, last = 0, (-1.0, 0)
+    while True:
+        belief = [F.when(F.sum(f"b{i}") >= support, F.sum(f"s{i}") / (F.count(F.lit(1)) + prior)).otherwise(0.0).alias(f"c{i}") for i in every]
+        patterns = cut(graph.join(score, "instance").groupBy("pattern").agg(*belief).where(F.greatest(*(f"c{i}" for i in every)) > 0))
+        # confidences never fall from round to round: the end is where none becomes sure and their sum stands still to 0.001
+        sure = sum((F.when(F.col(f"c{i}") >= confidence, 1).otherwise(0) for i in every), F.lit(0))
+        now = patterns.agg(F.coalesce(F.sum(sum((F.col(f"c{i}") for i in every), F.lit(0.0))), F.lit(0.0)), F.coalesce(F.sum(sure), F.lit(0))).first()
+        done += 1
+        if now[0] - last[0] <= 1e-3 and now[1] == last[1] or now[0] == 0 or done == rounds:
+            break
+        last = tuple(now)
+        doubt = [F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col(f"c{i}")))).alias(f"l{i}") for i in every]
+        shown = [F.max(F.when(F.col(f"c{i}") >= confidence, 1.0).otherwise(0.0)).alias(f"m{i}") for i in every]
+        judged = graph.join(patterns, "pattern").groupBy("instance").agg(*doubt, *shown)
+        score = cut(seeds.join(judged, "instance", "left").select(
+            "instance", *(F.greatest(f"s{i}", F.coalesce(1 - F.exp(f"l{i}"), F.lit(0.0))).alias(f"s{i}") for i in every),
+            *(F.greatest(f"s{i}", F.coalesce(f"m{i}", F.lit(0.0))).alias(f"b{i}") for i in every)))
     # only patterns that are confident by themselves discover
     sure = patterns.where(F.greatest(*(f"c{i}" for i in range(len(KINDS)))) >= confidence)
     best = F.array_max(F.array(*(F.struct(F.col(f"c{i}").alias("c"), F.lit(-i).alias("k")) for i in range(len(KINDS)))))

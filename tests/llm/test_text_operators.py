@@ -157,6 +157,22 @@ def test_pii_contexts_discover_and_masks(spark):  # noqa: F811
     assert pii.spans(frame.drop("spans").limit(0)).count() == 0 and pii.redacted(frame.limit(0)).count() == 0
 
 
+def test_pii_finds_numbers_of_several_tokens(spark):  # noqa: F811
+    seeds = [(i, f"note {i * 'x'} please call my number +1 (212) 555-{1000 + i} after nine o'clock") for i in range(1, 9)]
+    more = [(20, "please call my number 020 7946 0958 after nine o'clock"), (21, "10.0.0.1 call my number, 12 34 of the book")]
+    frame = spark.createDataFrame(seeds + more, "doc_id long, text string")
+    texts = {r["doc_id"]: r["text"] for r in pii.redacted(frame).collect()}
+    assert texts[20] == "please call my number <PHONE> after nine o'clock" and texts[21] == "<IP> call my number, 12 34 of the book"
+
+
+def test_pii_found_instances_support_patterns(spark):  # noqa: F811
+    rows = [(i, f"please call my number +1 (212) 555-{1000 + i} after nine o'clock") for i in range(60)]
+    rows += [(100 + i, f"please call my number 7946 09{i:02} after nine o'clock") for i in range(10)]
+    rows += [(200 + i, f"the desk line 7946 09{i:02} is open late") for i in range(10)] + [(300, "the desk line 555 123 is open late")]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[205] == [(14, 3, 23)] and got[300] == [(14, 3, 21)]
+
+
 def test_pii_mask_overlapping_spans(spark):  # noqa: F811
     kind = "array<struct<start:int,kind:int,stop:int>>"
     frame = spark.sql(f"SELECT 'a 12345 b 678' AS t, from_json('[{{\"start\":2,\"kind\":2,\"stop\":5}},{{\"start\":4,\"kind\":3,\"stop\":7}},{{\"start\":10,\"kind\":1,\"stop\":13}}]', '{kind}') AS s")
