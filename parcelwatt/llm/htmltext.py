@@ -46,7 +46,9 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply rep
 MAIN_WORDS = frozenset("article content post entry story main".split())
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-MAIN, SIDE, COMMENT, UNREAD, LINK, HEADING, HEADER = 1, 2, 4, 8, 16, 32, 64
+MAIN, SIDE, COMMENT, UNREAD, LINK, HEADING, HEADER, APART = 1, 2, 4, 8, 16, 32, 64, 128
+# Tags whose contents stay beside the article even where they hold an article of their own, such as a teaser.
+APART_TAGS = frozenset("nav footer aside menu dialog".split())
 
 
 def element_flags(tag: str, names: str, role: str, outer: int) -> int:
@@ -55,7 +57,12 @@ def element_flags(tag: str, names: str, role: str, outer: int) -> int:
     words = {w.lower() for w in _NAME.findall(names)} if names else frozenset()
     if tag in UNREAD_TAGS:
         flags |= UNREAD
+    if tag in APART_TAGS:
+        flags |= APART
     if tag in MAIN_TAGS or role == "main":
+        # what a wrapper outside of the main part says of itself (layout, form, search page) does not hold inside it
+        if not outer & MAIN and not (tag == "article" and outer & APART):
+            flags &= ~SIDE
         flags |= MAIN
     if tag in SIDE_TAGS or role in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu"):
         flags |= SIDE
@@ -254,6 +261,17 @@ LABELLED = """
 0 body>article>form>p 12 0
 0 body>article>div.ad>p 31 0
 
+1 body>form>p 64 0
+1 body>form>p 120 2
+1 body>form>p 88 0
+1 body>form>p 71 0
+
+0 body>div.widget>h3 2 0
+1 body>div.widget>p 95 0
+1 body>div.widget>p 76 1
+1 body>div.widget>p 110 0
+0 body>div.widget>ul>li 4 4
+
 0 body>div.banner 9 1
 0 body>header>nav>ul>li 1 1
 0 body>header>div 5 0

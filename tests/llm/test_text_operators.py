@@ -407,3 +407,17 @@ def test_html_blocks_and_tree(spark):  # noqa: F811
     assert htmltext.extract(frame.limit(0)).count() == 0
     x, y = htmltext.labelled_table()
     assert ((htmltext.Tree(x, y).predict(x) >= 0.5) == y).mean() > 0.95
+
+
+def test_html_article_inside_wrappers():
+    tree = htmltext.Tree(*htmltext.labelled_table())
+    long = [" ".join(f"{w}{i}" for i in range(80)) for w in "abcd"]
+    article = f"<h1>A title</h1><p>{long[0]}<p>Short one.<p>{long[1]}"
+    want = f"A title\n\n{long[0]}\n\nShort one.\n\n{long[1]}"
+    for wrapped in ("<div class='layout has-sidebar'><article>{}</article></div>", "<div id='search-page'><main>{}</main></div>", "<form><div role=main>{}</div></form>",
+                    "<form><main><article>{}</article></main></form>"):
+        assert htmltext.main_text(f"<body>{wrapped.format(article)}<footer>Legal words</footer></body>", tree) == want, wrapped
+    assert htmltext.main_text("<body><form>" + "".join(f"<p>{t}</p>" for t in long) + "</form></body>", tree) == "\n\n".join(long)
+    beside = "<aside><article><p>A teaser of some other story of the day</p></article></aside>"
+    assert htmltext.main_text(f"<body><article>{article}</article>{beside}</body>", tree) == want
+    assert htmltext.main_text(f"<body><main>{article}<div class=related><article><p>A teaser of some other story</p></article></div></main></body>", tree) == want
