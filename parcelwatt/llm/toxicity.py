@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from parcelwatt.llm.common import crc_mod, free_name, text_chunks
 
 WORD_BUCKETS, GRAM_BUCKETS, WORD_SIZE, GRAM_SIZE, HIDDEN, ATTENTION = 16384, 8192, 12, 12, 12, 8
-WINDOW, STRIDE = 48, 32
+WINDOW, STRIDE = 48, 24
 _EDGE = ".,;:!?\"'()[]{}<>*#%$&-_/\\|~`^+=«»„“”’‘…"
 
 
@@ -285,10 +285,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 2500, sample_char
         chars = 0
         rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(sample_rows)
         for row in rows.toLocalIterator():
-            chars += len(row["text"])
-            if chars > sample_chars:
-                break
-            if row["text"].strip():
+            # a text that does not fit is passed over, those after it are still taken
+            if row["text"].strip() and chars + len(row["text"]) <= sample_chars:
+                chars += len(row["text"])
                 texts.append(row["text"])
                 marks.append(y)
     if len(set(marks)) < 2:

@@ -421,3 +421,12 @@ def test_html_article_inside_wrappers():
     beside = "<aside><article><p>A teaser of some other story of the day</p></article></aside>"
     assert htmltext.main_text(f"<body><article>{article}</article>{beside}</body>", tree) == want
     assert htmltext.main_text(f"<body><main>{article}<div class=related><article><p>A teaser of some other story</p></article></div></main></body>", tree) == want
+
+
+def test_toxicity_sample_goes_on_after_an_oversize_text(spark, monkeypatch):  # noqa: F811
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, marks, steps: taken.extend(zip(texts, marks)))
+    frame = spark.createDataFrame([(i, "x" * (90 if i in (0, 1, 2, 3) else 5)) for i in range(12)], "doc_id long, text string")
+    toxicity.fit(frame, frame.selectExpr("doc_id", "int(doc_id % 2) AS toxic"), sample_chars=50)
+    assert sorted(taken) == [("xxxxx", 0)] * 4 + [("xxxxx", 1)] * 4
+    assert toxicity.STRIDE <= toxicity.WINDOW // 2
