@@ -1,10 +1,10 @@
-"""The ten operators bound to the supplied tables with production parameters, and SQL where SQL can express the result."""
+"""The operators bound to the supplied tables with production parameters, and SQL where SQL can express the result."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from parcelwatt.llm import htmltext, langid, mixing, neargraph, packing, pii, pivots, pseudolm, simhash, toxicity
+from parcelwatt.llm import htmltext, langid, mixing, hnsw, neargraph, packing, phrases, pii, pivots, pseudolm, simhash, toxicity, whitening
 from parcelwatt.llm.common import cut, table
 
 
@@ -61,6 +61,18 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudolm.score(docs, pseudolm.fit(docs, counts=counts), counts).select("doc_id", "n_words", "log_prob", "mean_log_prob")
 
 
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0).select("query_id", "rank", "vec_id", "score")
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.phrase_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_best_fit_packing": best_fit_packing,
     "op2_language_id": language_id,
@@ -72,6 +84,9 @@ QUERIES = {
     "op8_html_extraction": html_extraction,
     "op9_simhash_near_dedup": simhash_near_dedup,
     "op10_lm_scoring": lm_scoring,
+    "op11_embedding_whitening": embedding_whitening,
+    "op12_hnsw_neighbours": approximate_neighbours,
+    "op13_phrase_collocations": phrase_collocations,
 }
 
 ORACLE = {
@@ -85,4 +100,31 @@ ORACLE = {
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 20
     """,
+    "op13_phrase_collocations": """
+        WITH docs AS (
+            SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM docs),
+        words AS (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\x20\x09]+') IF x <> ''] AS w FROM pieces),
+        grams AS (
+            SELECT lang, 1 AS length, unnest(w) AS phrase FROM words
+            UNION ALL SELECT lang, 2, unnest([array_to_string(w[i:i + 1], ' ') FOR i IN range(1, len(w))]) FROM words WHERE len(w) >= 2
+            UNION ALL SELECT lang, 3, unnest([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) FROM words WHERE len(w) >= 3),
+        f AS (SELECT lang, length, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10),
+        size AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+        cuts AS (
+            SELECT lang, phrase, f AS a, 1 AS k, split_part(phrase, ' ', 1) AS head, substr(phrase, length(split_part(phrase, ' ', 1)) + 2) AS tail FROM f WHERE length >= 2
+            UNION ALL SELECT lang, phrase, f, 2, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 3) FROM f WHERE length = 3),
+        scored AS (
+            SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, t.f AS r, ((1000000::HUGEINT * c.a * c.a) // (h.f::HUGEINT * t.f))::BIGINT AS score
+            FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f t ON t.lang = c.lang AND t.phrase = c.tail),
+        lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        inside AS (
+            SELECT lang, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2) AS phrase, f FROM f WHERE length = 3
+            UNION ALL SELECT lang, split_part(phrase, ' ', 2) || ' ' || split_part(phrase, ' ', 3), f FROM f WHERE length = 3),
+        holder AS (SELECT lang, phrase, max(f) AS longer FROM inside GROUP BY ALL),
+        ranked AS (
+            SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+            FROM lowest LEFT JOIN holder USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT lang, rank::INTEGER AS rank, phrase, a, l, r, n, score FROM ranked JOIN size USING (lang) WHERE rank <= 2000
+    """,
 }
