@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -48,31 +49,56 @@ def text_chunks(texts: pd.Series, chars: int = 1_000_000) -> Iterator[tuple[int,
         yield start, run
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(v, root) for every vertex of the edges: root is the smallest vertex reachable.
+LOCAL_PAIRS = 250_000  # edges one task takes when so few are left
 
-    Rounds of contraction: a vertex moves to its neighbour (or itself) of smallest random priority, then once more from
-    there; edges are rewritten and made distinct, so their number falls by a constant factor whatever the shape of the
-    graph. The minima are partial aggregates, and the vertex table of each round has one row per vertex, so a hub only
-    meets other rows in joins that adaptive execution can split. Each round is a reliable checkpoint.
+
+def joined(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertices, smallest vertex reachable from each) of the edges left - right."""
+    names, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    a, b = at[:len(left)], at[len(left):]
+    label = np.arange(len(names))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        # the roots of both ends take the lower label, then every vertex that of its root
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return names, names[label]
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", local_pairs: int = LOCAL_PAIRS) -> DataFrame:
+    """(v, root) for every vertex of the edges, which are whole numbers: root is the smallest vertex reachable.
+
+    Rounds of contraction: a vertex moves to its neighbour (or itself) of smallest random priority; edges are rewritten and
+    made distinct, so their number falls by a constant factor whatever the shape of the graph. The minima are partial aggregates, and
+    the vertex table of each round has one row per vertex, so a hub only meets other rows in joins that adaptive
+    execution can split. Once at most ``local_pairs`` edges are left, one task joins them; a few links take that step alone. Each round is
+    a reliable checkpoint.
     """
     pairs = cut(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
     maps: list[DataFrame] = []
-    while not pairs.isEmpty():
+    while pairs.count() > local_pairs:
         priority = F.struct(F.xxhash64("u", F.lit(len(maps))).alias("h"), F.col("u"))
-        both = pairs.selectExpr("a AS v", "b AS u").unionAll(pairs.selectExpr("b AS v", "a AS u")).unionAll(
-            pairs.selectExpr("a AS v", "a AS u")).unionAll(pairs.selectExpr("b AS v", "b AS u"))
-        once = cut(both.groupBy("v").agg(F.min(priority)["u"].alias("p")))
-        twice = cut(once.alias("x").join(once.alias("y"), F.col("x.p") == F.col("y.v")).select("x.v", "y.p"))
-        maps.append(twice)
+        ends = F.explode(F.array(*(F.struct(F.col(v).alias("v"), F.col(u).alias("u")) for v in "ab" for u in "ab"))).alias("e")
+        moved = cut(pairs.select(ends).select("e.*").groupBy("v").agg(F.min(priority)["u"].alias("p")))
+        maps.append(moved)
         pairs = cut(
-            pairs.join(twice.selectExpr("v AS a", "p AS pa"), "a").join(twice.selectExpr("v AS b", "p AS pb"), "b")
+            pairs.join(moved.selectExpr("v AS a", "p AS pa"), "a").join(moved.selectExpr("v AS b", "p AS pb"), "b")
             .select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct())
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.concat([pd.DataFrame({"a": [], "b": []}, dtype="int64"), *batches])
+        v, root = joined(held["a"].to_numpy(), held["b"].to_numpy())
+        yield pd.DataFrame({"v": v, "p": root})
+
+    label = cut(pairs.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInPandas(rest, "v long, p long"))
     if not maps:
-        return pairs.selectExpr("a AS v", "b AS root")
+        return label.select("v", F.col("p").alias("root"))
     # cut at every step: the optimizer's time and memory grow steeply with a chain of outer joins
-    label = maps[-1]
-    for earlier in reversed(maps[:-1]):
+    for earlier in reversed(maps):
         label = cut(earlier.alias("x").join(label.alias("y"), F.col("x.p") == F.col("y.v"), "left").select(
             "x.v", F.coalesce("y.p", "x.p").alias("p")))
     lowest = label.groupBy("p").agg(F.min("v").alias("root"))

@@ -49,10 +49,11 @@ def test_graph_links_match_all_pairs(spark):  # noqa: F811
     assert neargraph.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_components_of_long_chains_and_stars(spark):  # noqa: F811
+@pytest.mark.parametrize("local_pairs", [250_000, 40, 0])
+def test_components_of_long_chains_and_stars(spark, local_pairs):  # noqa: F811
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, 1000 + i) for i in range(1, 400)]
-    got = dict(map(tuple, components(spark.createDataFrame(chain + star + chain[:5] + [(5000, 5000)], "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(chain + star + chain[:5] + [(5000, 5000)], "a long, b long"), local_pairs=local_pairs).collect()))
     assert {got[i] for i in range(301)} == {0} and {got[1000 + i] for i in range(400)} == {1000} and 5000 not in got
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
