@@ -64,12 +64,13 @@ def _read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def anomalies(stream: DataFrame, history_path: str, events_path: str, checkpoint: str,
-              window: timedelta = timedelta(hours=24), late: timedelta = timedelta(hours=48), **rule) -> StreamingQuery:
+              window: timedelta = timedelta(hours=24), **rule) -> StreamingQuery:
     """Exact rolling z-score per reading with batch parity; new anomalies land as Parquet files.
 
     Every micro-batch is joined to the readings of the window around it (kept by day under
     ``history_path``): all readings that the batch may change are judged again, and anomalies not yet
-    under ``events_path`` are appended. Re-running a batch after a failure adds nothing twice.
+    under ``events_path`` are appended. Re-running a batch after a failure adds nothing twice. A batch reads the days its
+    readings span; ``keyed`` reads none, and refuses readings that come too late.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from datetime import timedelta
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
+from parcelwatt.operators import timeseries as ts
 from parcelwatt.session import shared_dir
-from parcelwatt.streaming import streams as S
+from parcelwatt.streaming import keyed, streams as S
 from standin_queries.base import READING, R, TS, query, reading_columns, rounded, table
 from standin_queries.meters import ANOMALY, Z
 
@@ -32,8 +34,13 @@ def _run(q):
 
 @query("stream_dedup", f"""WITH {READING} SELECT meter_type, count(*) AS n, {R('sum(value)', 3)} AS total FROM reading GROUP BY 1""")
 def stream_dedup(spark, sf):
+    """Every reading lands twice."""
     at = _folder(spark, "dedup")
-    _run(S.to_files(_stream(spark, sf), at("out"), at("check")))
+    events = table(spark, sf, "events")
+    for name in ("a", "b"):
+        events.write.parquet(at(f"in/{name}"))
+    stream = S.readings(spark, at("in"), events.schema, reading_columns, recursiveFileLookup="true")
+    _run(S.to_files(stream, at("out"), at("check")))
     return rounded(spark.read.parquet(at("out")).groupBy("meter_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 3, "total")
 
 
@@ -79,12 +86,39 @@ def stream_anomaly(spark, sf):
     return rounded(rounded(found, 4, "window_mean", "window_std"), 3, "z_score")
 
 
-@query("stream_events")
+_STALE = "INTERVAL 10 YEARS"
+
+
+@query("stream_keyed_anomaly", f"""WITH {READING}, {ANOMALY} SELECT 'anomaly' AS kind, ts_id, meter_type, {TS('detected_at')} AS at, {R('window_mean', 4)} AS window_mean, {R('window_std', 4)} AS window_std, offending_value AS value, {R('z_score', 3)} AS z_score FROM anomaly
+ UNION ALL SELECT 'late', ts_id, meter_type, {TS(f'recorded_at - {_STALE}')}, NULL, NULL, value, NULL FROM reading""")
+def stream_keyed_anomaly(spark, sf):
+    """Keyed state over readings that land in disorder, some twice, with a copy of each that is ten years old."""
+    at = _folder(spark, "keyed")
+    events = table(spark, sf, "events")
+    second = F.pmod(F.xxhash64("user_id", "ts", "event_type"), F.lit(2)) == 1
+    stale = events.withColumn("ts", F.col("ts") - F.expr(_STALE))
+    # the first landing holds the newest reading of every series, so that the stale copies find it
+    newest = Window.partitionBy("user_id", "event_type")
+    first = events.withColumn("_new", F.max("ts").over(newest)).filter(~second | (F.col("ts") == F.col("_new"))).drop("_new")
+    for name, part in (("a", first), ("b", events.filter(second).unionByName(first).unionByName(stale))):
+        part.write.parquet(at(f"in/{name}"))
+        stream = S.readings(spark, at("in"), events.schema, reading_columns, dedup=False, recursiveFileLookup="true")
+        _run(keyed.anomaly_changes(stream, at("out"), at("check"), late=timedelta(days=60), min_count=2, z=Z))
+    written = keyed.said(spark, at("out"))
+    none = F.lit(None).cast("double")
+    found = keyed.verdicts(written).select(F.lit("anomaly").alias("kind"), *ts.SERIES, F.col("detected_at").alias("at"), "window_mean", "window_std", F.col("offending_value").alias("value"), "z_score")
+    late = keyed.refused(written).select(F.lit("late").alias("kind"), *ts.SERIES, F.col("recorded_at").alias("at"), none.alias("window_mean"), none.alias("window_std"), "value", none.alias("z_score"))
+    return rounded(rounded(found.unionByName(late), 4, "window_mean", "window_std"), 3, "z_score")
+
+
+@query("stream_events", f"""WITH {READING}, {ANOMALY} SELECT ts_id, meter_type, {TS('detected_at')} AS detected_at, offending_value FROM anomaly""")
 def stream_events(spark, sf):
     """Anomaly events as JSON lines."""
     at = _folder(spark, "events")
-    _run(S.to_files(_stream(spark, sf).filter(F.col("value") > 100), at("out"), at("check"), fmt="json"))
-    return spark.read.schema("ts_id LONG, meter_type STRING, recorded_at TIMESTAMP, value DOUBLE").json(at("out"))
+    _run(S.anomalies(_stream(spark, sf, dedup=False), at("history"), at("found"), at("check"), min_count=2, z=Z))
+    found = spark.readStream.schema(spark.read.parquet(at("found")).schema).parquet(at("found")).drop("day")
+    _run(S.to_files(found, at("out"), at("check2"), fmt="json"))
+    return spark.read.schema("ts_id LONG, meter_type STRING, detected_at TIMESTAMP, offending_value DOUBLE").json(at("out"))
 
 
 @query("stream_weather")

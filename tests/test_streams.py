@@ -1,10 +1,12 @@
 import datetime as dt
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from parcelwatt import schemas
 from parcelwatt.operators import timeseries as ts
-from parcelwatt.streaming import streams as S
+from parcelwatt.streaming import keyed, streams as S
 
 T0 = dt.datetime(2025, 1, 6)
 
@@ -64,3 +66,57 @@ def test_latest_snapshot(spark, tmp_path):
     land(spark, src, "a", [reading(0, 1), reading(30, 3), reading(15, 9), reading(5, 4, ts_id=2)])
     S.to_snapshot(S.latest(open_stream(spark, src, dedup=False)), at("o"), at("c")).awaitTermination()
     assert {r["ts_id"]: r["value"] for r in spark.read.parquet(at("o")).select("ts_id", F.col("value")).collect()} == {1: 3.0, 2: 4.0}
+
+
+def keyed_run(spark, src, at, **rule):
+    keyed.anomaly_changes(open_stream(spark, src, dedup=False), at("out"), at("check"), **rule).awaitTermination()
+    return keyed.said(spark, at("out"))
+
+
+def verdict_rows(df):
+    return sorted((r["ts_id"], r["detected_at"], round(r["window_mean"], 9), round(r["window_std"], 9), r["offending_value"], round(r["z_score"], 9)) for r in df.collect())
+
+
+def test_keyed_anomalies_follow_disorder_repeats_and_refuse_old_rows(spark, tmp_path):
+    src, at = str(tmp_path / "in"), lambda p: str(tmp_path / p)
+    rows = [reading(15 * i, 10 + i % 3, ts_id=1 + i % 2) for i in range(260)]
+    rows[60], rows[121], rows[200] = reading(15 * 60, 90, 1), reading(15 * 121, 95, 2), reading(15 * 200, 60, 1)
+    rows += [reading(15 * i, 5, ts_id=3) for i in range(40)] + [reading(15 * 41, 5.5, ts_id=3)]  # no deviation, no verdict
+    old = reading(-60 * 24 * 3650, 7)
+    # the quiet rows before the peak come last: they make new verdicts and withdraw old ones
+    landings = [rows[40:60] + rows[60:130], rows[130:] + rows[60:70], rows[:40] + [old] + rows[:10]]
+    taken = []
+    for i, part in enumerate(landings):
+        land(spark, src, str(i), part)
+        written = keyed_run(spark, src, at, late=dt.timedelta(hours=72))
+        taken += [r for r in part if r is not old]
+        batch = spark.createDataFrame(taken, schemas.READING).dropDuplicates(["ts_id", "meter_type", "recorded_at"])
+        assert verdict_rows(keyed.verdicts(written)) == verdict_rows(ts.anomalies(batch)) != []
+    late = keyed.refused(written).collect()
+    assert [(r["ts_id"], r["value"]) for r in late] == [(1, 7.0)]
+    assert written.filter("kind = 'anomaly' AND batch > 0").count() > 0
+
+
+def test_keyed_state_keeps_only_what_later_verdicts_need(spark, tmp_path):
+    src, at = str(tmp_path / "in"), lambda p: str(tmp_path / p)
+    rule = {"window": dt.timedelta(hours=2), "late": dt.timedelta(hours=1), "min_count": 3}
+    land(spark, src, "a", [reading(15 * i, 10 + i % 4) for i in range(400)])
+    keyed_run(spark, src, at, **rule)
+    buffer = spark.read.format("statestore").option("stateVarName", "buffer").load(at("check"))
+    assert [len(r["value"]["us"]) for r in buffer.collect()] == [13]  # three hours of quarters, both ends
+    land(spark, src, "b", [reading(15 * 399 - 61, 50), reading(15 * 399 - 59, 50), (2, "gas", None, 1.0, "kWh"), (2, "gas", T0, None, "kWh")])
+    written = keyed_run(spark, src, at, **rule)
+    assert [r["value"] for r in keyed.refused(written).collect()] == [50.0]
+    assert {r["offending_value"] for r in keyed.verdicts(written).collect()} == {13.0, 50.0}  # 13 after 10, 11, 12
+
+
+def test_time_to_live_needs_a_query_that_runs_on(spark, tmp_path):
+    land(spark, str(tmp_path / "in"), "a", [reading(15 * i, 10 + i % 4) for i in range(20)])
+    stream, at = open_stream(spark, str(tmp_path / "in"), dedup=False), lambda p: str(tmp_path / p)
+    with pytest.raises(ValueError):
+        keyed.anomaly_changes(stream, at("out"), at("check"), keep=dt.timedelta(days=1))
+    query = keyed.anomaly_changes(stream, at("out"), at("check"), every="1 second", keep=dt.timedelta(days=1))
+    try:
+        assert not query.awaitTermination(15) and query.lastProgress is not None
+    finally:
+        query.stop()
