@@ -9,6 +9,7 @@ from parcelwatt.functions.rounding import half_up
 from parcelwatt.operators.graph import TIME_PER_STEP_MIN, timeline
 from parcelwatt.operators.join import distinct_on
 from parcelwatt.operators.spatial import dbscan, knn_join
+from parcelwatt.session import cut
 
 
 def score(buildings: DataFrame) -> DataFrame:
@@ -63,15 +64,21 @@ def cluster_high_risk(risk_points: DataFrame, eps_m: float = 100.0, min_pts: int
     return high.join(dbscan(high, geo.eps_degrees(eps_m), min_pts), "id")
 
 
-def _turn(o, a, b) -> float:
+def _turn(o, a, b) -> int:
     return (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
 
 
-def _hull(pdf):
-    """Convex hull of one small batch of points (monotone chain)."""
+def _hull(pdf, scale: float):
+    """Convex hull of one part (monotone chain), judged in whole numbers on a grid of 1 / ``scale``."""
+    import numpy as np
     import pandas as pd
 
-    pts = sorted(set(map(tuple, pdf[["lng", "lat"]].to_numpy(float))))
+    pdf = pdf.sort_values(["lng", "lat"])
+    grid = np.floor(pdf[["lng", "lat"]].to_numpy(float) * scale + 0.5)
+    place = {}
+    for spot, own in zip(map(tuple, grid.astype(object)), pdf[["lng", "lat"]].itertuples(index=False, name=None)):
+        place.setdefault(tuple(map(int, spot)), own)
+    pts = sorted(place)
 
     def chain(seq):
         out = []
@@ -82,25 +89,35 @@ def _hull(pdf):
         return out[:-1]
 
     corners = chain(pts) + chain(pts[::-1]) if len(pts) > 2 else pts
-    frame = pd.DataFrame(corners, columns=["lng", "lat"])
+    frame = pd.DataFrame([place[c] for c in corners], columns=["lng", "lat"])
     frame.insert(0, "cluster", pdf["cluster"].iloc[0])
     frame["seq"] = range(len(frame))
     return frame
 
 
-def convex_hulls(members: DataFrame, batch: int = 20_000) -> DataFrame:
-    """cluster, lng, lat, seq: hull corners in counter-clockwise order.
+def convex_hulls(members: DataFrame, batch: int = 20_000, fan: int = 8, digits: int = 9) -> DataFrame:
+    """cluster, lng, lat, seq: hull corners in counter-clockwise order, from the one farthest west (then south).
 
-    Each cluster is first thinned to the hull corners of random parts of about ``batch`` points, so
-    the final pass over one cluster sees only corners.
+    A tree of partial hulls: a cluster is divided into parts of about ``batch`` points, each is thinned to its corners, and ``fan``
+    parts at a time are joined and thinned again until one is left, so a task holds ``fan`` partial hulls, never a cluster. Corners are judged
+    on a grid of 10^-``digits`` degrees in whole numbers: points on a side are no corners, points of one grid cell are one
+    point (the first by lng, lat). Rows without cluster or coordinates take no part; a single point is its own hull, two are
+    a side.
     """
     id_type = members.schema["cluster"].dataType.simpleString()
     schema = f"cluster {id_type}, lng double, lat double, seq int"
-    pts = members.filter("cluster IS NOT NULL").select("cluster", "lng", "lat").distinct()
-    parts = pts.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / batch).alias("_parts"))
-    part = pts.join(parts, "cluster").withColumn("_part", F.pmod(F.xxhash64("lng", "lat"), F.col("_parts")))
-    thin = part.select("cluster", "lng", "lat", "_part").groupBy("cluster", "_part").applyInPandas(_hull, schema).drop("seq")
-    return thin.groupBy("cluster").applyInPandas(_hull, schema)
+    pts = members.filter("cluster IS NOT NULL AND lng IS NOT NULL AND lat IS NOT NULL").select("cluster", F.col("lng").cast("double"), F.col("lat").cast("double")).distinct()
+    sizes = cut(pts.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / batch).alias("_parts")))
+    most = sizes.agg(F.max("_parts")).first()[0] or 0
+    thin = lambda df: df.groupBy("cluster", "_part").applyInPandas(lambda pdf: _hull(pdf, float(10 ** digits)), schema)
+    open_ = thin(pts.join(sizes, "cluster").withColumn("_part", F.pmod(F.xxhash64("lng", "lat"), F.col("_parts"))).drop("_parts"))
+    while most > 1:
+        # the corners of parts carry no part number: they are dealt anew, to a number of parts that falls by fan
+        most = -(-most // fan)
+        sizes = sizes.withColumn("_parts", F.ceil(F.col("_parts") / fan))
+        dealt = cut(open_.drop("seq")).join(sizes, "cluster")
+        open_ = thin(dealt.withColumn("_part", F.pmod(F.xxhash64("lng", "lat"), F.col("_parts"))).drop("_parts"))
+    return open_
 
 
 def cluster_summary(members: DataFrame, min_pts: int = 5) -> DataFrame:

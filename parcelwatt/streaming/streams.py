@@ -110,6 +110,7 @@ def to_files(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     """Append-mode file sink; processes what has landed and stops."""
     return (
         stream.writeStream.format(fmt).outputMode(mode).option("path", path).option("checkpointLocation", checkpoint)
+        .option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")  # text formats keep milliseconds only by default
         .trigger(availableNow=True).start()
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from parcelwatt.functions import geo, hazard
 from parcelwatt.operators import enrich, fire, graph, spatial, upsert
@@ -144,10 +144,21 @@ def cluster_summary(spark, sf):
     return fire.cluster_summary(p.join(spatial.dbscan(p, 0.0015, 4), "id"), 4)
 
 
-@query("cluster_hulls")
+_CROSS = "(q.x - p.x) * (r.y - p.y) - (q.y - p.y) * (r.x - p.x)"
+
+
+@query("cluster_hulls", f"""WITH RECURSIVE {_CORES}, grid AS MATERIALIZED (SELECT l.cluster, floor(p.lng * 1e9 + 0.5)::HUGEINT AS x, floor(p.lat * 1e9 + 0.5)::HUGEINT AS y, min([p.lng, p.lat]) AS own FROM points p JOIN labelled l USING (id) GROUP BY 1, 2, 3),
+ sides AS (SELECT p.cluster, p.own AS a, q.own AS b, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy FROM grid p JOIN grid q ON q.cluster = p.cluster AND (q.x <> p.x OR q.y <> p.y)
+  WHERE NOT EXISTS (SELECT 1 FROM grid r WHERE r.cluster = p.cluster AND ({_CROSS} < 0 OR ({_CROSS} = 0 AND ((q.x - p.x) * (r.x - p.x) + (q.y - p.y) * (r.y - p.y) < 0 OR (r.x - q.x) * (q.x - p.x) + (r.y - q.y) * (q.y - p.y) > 0))))),
+ corners AS (SELECT cluster, a, b FROM sides UNION ALL SELECT cluster, any_value(own), any_value(own) FROM grid GROUP BY 1 HAVING count(*) = 1)
+ SELECT cluster::DOUBLE AS cluster, {R('a[1]', 7)} AS lng, {R('a[2]', 7)} AS lat, {R('b[1]', 7)} AS next_lng, {R('b[2]', 7)} AS next_lat, count(*) OVER (PARTITION BY cluster) AS corners FROM corners""")
 def cluster_hulls(spark, sf):
+    """Every corner with the one after it: a side that has all other members on its left."""
     p = points(spark, sf)
-    return fire.convex_hulls(p.join(spatial.dbscan(p, 0.0015, 4), "id"))
+    hulls = fire.convex_hulls(p.join(spatial.dbscan(p, 0.0015, 4), "id"), batch=16)
+    around, whole = Window.partitionBy("cluster").orderBy("seq"), Window.partitionBy("cluster")
+    nxt = hulls.withColumns({f"next_{c}": F.coalesce(F.lead(c).over(around), F.first(c).over(around)) for c in ("lng", "lat")}).withColumn("corners", F.count(F.lit(1)).over(whole))
+    return rounded(nxt.withColumn("cluster", F.col("cluster").cast("double")).drop("seq"), 7, "lng", "lat", "next_lng", "next_lat")
 
 
 @query("components", f"""WITH RECURSIVE {PAIRS}, both_ways AS (SELECT id_a AS a, id_b AS b FROM pairs UNION ALL SELECT id_b, id_a FROM pairs), reach(id, root) AS (SELECT a, a FROM both_ways UNION SELECT l.b, r.root FROM reach r JOIN both_ways l ON l.a = r.id)

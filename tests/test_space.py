@@ -175,6 +175,24 @@ def test_adjacency_modes(spark, rows):
     assert rows(graph.mirror(one_way), "source_pnu", "target_pnu", "distance_m") == [("a", "b", 1.0), ("a", "c", 3.0), ("b", "a", 2.0), ("c", "a", 3.0)]
 
 
+def test_hull_tree_of_one_large_cluster(spark):
+    """One cluster of a million points, most of the corners on a circle, with points on the sides of a square around it in another."""
+    import numpy as np
+
+    turn = F.col("id") * (2 * np.pi / 300)
+    disc = spark.range(1_000_000).select(
+        F.lit(1).alias("cluster"), (F.when(F.col("id") < 300, F.cos(turn)).otherwise((F.rand(3) - 0.5))).alias("lng"), (F.when(F.col("id") < 300, F.sin(turn)).otherwise((F.rand(4) - 0.5))).alias("lat"))
+    square = spark.createDataFrame([(2, x / 10, y / 10) for x in range(11) for y in range(11) if x in (0, 10) or y in (0, 10)] * 3 + [(3, 1.0, 1.0), (4, 0.1, 0.1), (4, 0.2, 0.2), (4, 0.3, 0.3), (None, 9.0, 9.0), (4, None, 0.0)], "cluster int, lng double, lat double")
+    out = {}
+    for r in fire.convex_hulls(disc.unionByName(square), batch=20_000, fan=3).orderBy("cluster", "seq").collect():
+        out.setdefault(r["cluster"], []).append((round(r["lng"], 9), round(r["lat"], 9)))
+    ring = [(round(float(np.cos(k * 2 * np.pi / 300)), 9), round(float(np.sin(k * 2 * np.pi / 300)), 9)) for k in range(300)]
+    start = ring.index(min(ring))
+    assert len(out[1]) == 300 and np.allclose(out[1], ring[start:] + ring[:start], atol=2e-9)
+    assert out[2] == [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0)] and out[3] == [(1.0, 1.0)] and out[4] == [(0.1, 0.1), (0.3, 0.3)] and set(out) == {1, 2, 3, 4}
+    assert fire.convex_hulls(square.limit(0)).count() == 0
+
+
 def test_hulls_and_wind(spark, rows):
     pts = [(0, 0), (4, 0), (4, 4), (0, 4)] + [(1 + i / 50, 1 + (i * 7 % 50) / 25) for i in range(100)]
     df = spark.createDataFrame([("c", float(x), float(y)) for x, y in pts], "cluster string, lng double, lat double")
