@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from parcelwatt.functions import geo, hazard
 from parcelwatt.operators import enrich, fire, graph, spatial, upsert
-from parcelwatt.operators import query as Q
+from parcelwatt.operators import query as Q, routes as routes_
 from parcelwatt.operators import stats
 from standin_queries.base import (
     BUILDING, EDGES, HAVERSINE, PAIRS, POINTS, R, RADIUS, STATIONS, attrs, building, edges, points, query, rounded, stations, table,
@@ -246,6 +246,23 @@ def routes(spark, sf):
     return rounded(summary, 4, "distance_m")
 
 
+@query("shelter_routes", f"""WITH RECURSIVE {PAIRS}, stations AS (SELECT CAST(label AS BIGINT) AS id, {R('avg(lng)', 6)} AS lng, {R('avg(lat)', 6)} AS lat FROM points GROUP BY 1),
+ arcs AS MATERIALIZED (SELECT id_a AS a, id_b AS b, distance_m AS d FROM pairs UNION ALL SELECT id_b, id_a, distance_m FROM pairs),
+ snap AS (SELECT s.id AS shelter, p.id AS v FROM stations s CROSS JOIN points p QUALIFY row_number() OVER (PARTITION BY s.id ORDER BY {HAVERSINE('s', 'p')}, p.id) = 1),
+ pick AS (SELECT p.id AS origin, s.id AS shelter FROM points p CROSS JOIN stations s QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY {HAVERSINE('p', 's')}, s.id) <= 3),
+ src AS (SELECT DISTINCT v AS s FROM snap), {_WAYS},
+ best AS MATERIALIZED (SELECT s, v, c FROM ways), back AS MATERIALIZED (SELECT n.s, n.v, arg_min(a.b, n2.c + a.d) AS pred FROM best n JOIN arcs a ON a.a = n.v JOIN best n2 ON n2.s = n.s AND n2.v = a.b WHERE n.v <> n.s GROUP BY 1, 2),
+ trips AS (SELECT origin, shelter, n.v AS s, c FROM pick JOIN snap n USING (shelter) JOIN best w ON w.s = n.v AND w.v = origin WHERE origin <> n.v),
+ path(origin, shelter, s, seq, vertex) AS (SELECT origin, shelter, s, 0, origin FROM trips UNION ALL SELECT p.origin, p.shelter, p.s, p.seq + 1, k.pred FROM path p JOIN back k ON k.s = p.s AND k.v = p.vertex)
+ SELECT origin, shelter, seq, vertex, {R('c', 4)} AS distance_m FROM path JOIN trips USING (origin, shelter)""")
+def shelter_routes(spark, sf):
+    """Every point as origin, with the vertices of its ways."""
+    p = points(spark, sf).select("id", "lng", "lat")
+    roads = spatial.distance_pairs(p, RADIUS).toDF("source", "target", "length_m")
+    summary, path = routes_.shelter_routes(roads, p, p, stations(spark, sf))
+    return rounded(path.join(summary, ["origin", "shelter"]), 4, "distance_m")
+
+
 @query("station_coverage", f"""WITH {STATIONS} SELECT p.id, s.id AS station_id, row_number() OVER (PARTITION BY p.id ORDER BY {HAVERSINE('p', 's')}, s.id) AS rank, {R(HAVERSINE('p', 's'), 3)} AS distance_m, {R(HAVERSINE('p', 's') + ' / 500', 1)} AS est_response_min
  FROM points p CROSS JOIN stations s QUALIFY row_number() OVER (PARTITION BY p.id ORDER BY {HAVERSINE('p', 's')}, s.id) <= 3""")
 def station_coverage(spark, sf):

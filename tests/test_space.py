@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelwatt.functions import geo
-from parcelwatt.operators import fire, graph, spatial
+from parcelwatt.operators import fire, graph, routes, spatial
 
 R = geo.EARTH_RADIUS_M
 
@@ -175,6 +175,48 @@ def test_adjacency_modes(spark, rows):
     assert rows(graph.mirror(one_way), "source_pnu", "target_pnu", "distance_m") == [("a", "b", 1.0), ("a", "c", 3.0), ("b", "a", 2.0), ("c", "a", 3.0)]
 
 
+def test_bounded_search_and_paths_match_plain_dijkstra(spark):
+    import heapq
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1, 1.0) for i in range(40)]
+    mesh = [(200 + int(a), 200 + int(b), float(d)) for a, b, d in zip(rng.integers(0, 60, 150), rng.integers(0, 60, 150), rng.random(150) + 0.1)]
+    arcs = {}
+    for a, b, d in chain + mesh:
+        if a != b:
+            for u, v in ((a, b), (b, a)):
+                arcs.setdefault(u, {})[v] = min(d, arcs.get(u, {}).get(v, 9e9))
+
+    def costs(s):
+        best, heap = {}, [(0.0, s)]
+        while heap:
+            c, v = heapq.heappop(heap)
+            if v not in best:
+                best[v] = c
+                for w, d in arcs.get(v, {}).items():
+                    heapq.heappush(heap, (c + d, w))
+        return best
+
+    wanted = [(0, 40), (0, 3), (20, 19), (200, 230), (201, 259), (201, 5), (230, 230)]
+    roads = spark.createDataFrame(chain + mesh + [(1, None, 2.0), (None, 2, 1.0), (5, 5, 1.0)], "source long, target long, length_m double")
+    labels = routes.bounded_search(roads, spark.createDataFrame(wanted, "source long, vertex long"), delta=5.0)
+    got = {(r["source"], r["vertex"]): r["cost"] for r in labels.collect()}
+    for s, v in wanted:
+        want = costs(s).get(v)
+        assert (s, v) not in got if want is None else abs(got[s, v] - want) < 1e-9
+    assert (20, 0) not in got and (20, 40) not in got  # this source was finished long before
+    ends = spark.createDataFrame([(s, v) for s, v in wanted if (s, v) in got], "source long, target long")
+    ways = {}
+    for r in routes.laid_out(labels, ends).collect():
+        ways.setdefault((r["source"], r["target"]), {})[r["seq"]] = r["vertex"]
+    for (s, v), way in ways.items():
+        order = [way[i] for i in range(len(way))]
+        assert order[0] == v and order[-1] == s and abs(sum(arcs[a][b] for a, b in zip(order, order[1:])) - got[s, v]) < 1e-9
+    assert len(ways[0, 40]) == 41 and routes.bounded_search(roads, spark.createDataFrame([], "source long, vertex long")).count() == 0
+
+
 def test_hull_tree_of_one_large_cluster(spark):
     """One cluster of a million points, most of the corners on a circle, with points on the sides of a square around it in another."""
     import numpy as np
