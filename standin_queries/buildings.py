@@ -354,11 +354,18 @@ _NAMED = """fp AS (SELECT CASE p_partkey % 3 WHEN 0 THEN '11140' WHEN 1 THEN '11
  'Customer#' || lpad(CAST(p_partkey * 7 AS VARCHAR), 9, '0') AS bld_nm FROM part)"""
 
 
-@query("address_to_pnu", f"""WITH {ADDRESSES}, {_NAMED}, a AS (SELECT id, CASE id % 3 WHEN 0 THEN '11140' WHEN 1 THEN '11680' ELSE '11230' END AS sgg, CASE WHEN id % 4 < 3 THEN id % 300 END AS bon, CASE id % 4 WHEN 0 THEN 0 ELSE id % 9 END AS ji FROM addresses)
- SELECT id, min(pnu) AS pnu FROM a JOIN fp ON left(pnu, 5) = sgg AND CAST(substr(pnu, 12, 4) AS INTEGER) = bon AND CAST(substr(pnu, 16, 4) AS INTEGER) = ji GROUP BY 1""")
+_TRIGRAMS = "list_distinct(flatten(list_transform(string_split(lower(name), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query("address_to_pnu", f"""WITH {ADDRESSES}, {_NAMED}, a AS (SELECT id, bld_nm, CASE id % 3 WHEN 0 THEN '11140' WHEN 1 THEN '11680' ELSE '11230' END AS sgg, CASE WHEN id % 4 < 3 THEN id % 300 END AS bon, CASE id % 4 WHEN 0 THEN 0 ELSE id % 9 END AS ji FROM addresses),
+ lot AS (SELECT id, min(pnu) AS pnu FROM a JOIN fp ON left(pnu, 5) = sgg AND CAST(substr(pnu, 12, 4) AS INTEGER) = bon AND CAST(substr(pnu, 16, 4) AS INTEGER) = ji GROUP BY 1),
+ rest AS (SELECT * FROM a WHERE id NOT IN (SELECT id FROM lot)), named AS (SELECT left(pnu, 5) AS sgg, bld_nm AS name, min(pnu) AS pnu FROM fp GROUP BY 1, 2),
+ l AS MATERIALIZED (SELECT sgg, name, {_TRIGRAMS} AS t FROM (SELECT DISTINCT sgg, bld_nm AS name FROM rest)), r AS MATERIALIZED (SELECT sgg, name, pnu, {_TRIGRAMS} AS t FROM named),
+ s AS (SELECT l.sgg, l.name, r.name AS other, r.pnu, length(list_intersect(l.t, r.t)) AS k, length(l.t) AS na, length(r.t) AS nb FROM l JOIN r USING (sgg)),
+ best AS (SELECT * FROM s WHERE k / (na + nb - k)::DOUBLE >= 0.3 QUALIFY row_number() OVER (PARTITION BY sgg, name ORDER BY k / (na + nb - k)::DOUBLE DESC, other) = 1)
+ SELECT id, pnu, 'lot' AS method FROM lot UNION ALL SELECT id, pnu, CASE WHEN pnu IS NULL THEN 'no match' ELSE 'name' END FROM rest LEFT JOIN best ON best.sgg = rest.sgg AND best.name = rest.bld_nm""")
 def address_to_pnu(spark, sf):
-    found = resolve.address_to_pnu(addresses(spark, sf), _named_footprints(spark, sf))
-    return found.filter(F.col("method") == "lot").select("id", "pnu")
+    return resolve.address_to_pnu(addresses(spark, sf), _named_footprints(spark, sf))
 
 
 @query("fuzzy_match", """WITH l AS (SELECT DISTINCT p_brand AS block, p_name AS name FROM part), r AS (SELECT DISTINCT p_brand AS block, lower(p_type) || ' ' || p_name AS name FROM part),
@@ -373,15 +380,28 @@ def fuzzy_match(spark, sf):
     return rounded(resolve.best_similar(left, right), 6, "similarity")
 
 
-@query("address_prefix", f"""WITH {ADDRESSES}, b AS (SELECT pnu, '서울특별시 ' || CASE c_custkey % 3 WHEN 0 THEN '중구' WHEN 1 THEN '강남구' ELSE '동대문구' END || ' 오곡동 ' || (c_custkey % 50) || '-' || (c_custkey % 9) AS a
-  FROM (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 19, '0') AS pnu FROM customer)), q AS (SELECT DISTINCT left(trim(address), 15) AS q FROM addresses),
- m AS (SELECT q, min(pnu) AS pnu FROM q JOIN b ON contains(a, q) GROUP BY 1) SELECT id, pnu FROM addresses JOIN m ON left(trim(address), 15) = q""")
-def address_prefix(spark, sf):
+_ADDRESS_SQL = f"""WITH {ADDRESSES}, b AS (SELECT pnu, '서울특별시 ' || CASE c_custkey % 3 WHEN 0 THEN '중구' WHEN 1 THEN '강남구' ELSE '동대문구' END || ' 오곡동 ' || (c_custkey % 50) || '-' || (c_custkey % 9) AS a
+  FROM (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 19, '0') AS pnu FROM customer)), q AS (SELECT DISTINCT {{q}} AS q FROM addresses),
+ m AS (SELECT q, min(pnu) AS pnu FROM q JOIN b ON contains(a, q) GROUP BY 1) SELECT id, pnu FROM addresses JOIN m ON {{q}} = q"""
+
+
+def _addressed(spark, sf):
     k, text = F.col("c_custkey"), lambda c: c.cast("string")
     gu = F.when(k % 3 == 0, "중구").when(k % 3 == 1, "강남구").otherwise("동대문구")
     b = table(spark, sf, "customer").select(
         F.lpad(text(k), 19, "0").alias("pnu"), F.concat(F.lit("서울특별시 "), gu, F.lit(" 오곡동 "), text(k % 50), F.lit("-"), text(k % 9)).alias("road_addr"), F.lit(None).cast("string").alias("jibun_addr"))
-    return resolve.by_address_prefix(addresses(spark, sf), b)
+    return b
+
+
+@query("address_prefix", _ADDRESS_SQL.format(q="left(trim(address), 15)"))
+def address_prefix(spark, sf):
+    return resolve.by_address(addresses(spark, sf), _addressed(spark, sf), 15)
+
+
+@query("address_whole", _ADDRESS_SQL.format(q="lower(trim(address))"))
+def address_whole(spark, sf):
+    """Whole addresses anywhere in the address of a building."""
+    return resolve.by_address(addresses(spark, sf), _addressed(spark, sf))
 
 
 @query("geojson_feature", f"""WITH {BUILDING} SELECT gid, {R('cx', 5)} AS x, {R('cy', 5)} AS y, usage_type FROM building""")

@@ -96,9 +96,27 @@ def test_top_k_survives_a_hot_key(spark):
 
 
 def test_resolution(spark, rows):
-    fp = spark.createDataFrame([("1114010100101230004", "서울타워 빌딩"), ("1114010100101230000", "남산 상가"), ("1168010100100010000", "강남 파이낸스 센터")], "pnu string, bld_nm string")
-    certs = spark.createDataFrame([(1, "서울특별시 중구 을지동 123-4", "x"), (2, "서울특별시 강남구 테헤란로 152", "강남파이낸스 센터"), (3, "부산광역시 해운대구 우동 1-1", "서울타워"), (4, "서울특별시 중구 을지동 123번지", None)], "id int, address string, bld_nm string")
-    assert rows(resolve.address_to_pnu(certs, fp)) == [(1, "1114010100101230004", "lot"), (2, "1168010100100010000", "name"), (4, "1114010100101230000", "lot")]
+    fp = spark.createDataFrame([("1114010100101230004", "서울타워 빌딩"), ("1114010100101230000", "남산 상가"), ("1168010100100010000", "강남 파이낸스 센터"), ("4119510100100070000", None)], "pnu string, bld_nm string")
+    certs = spark.createDataFrame([(1, "서울특별시 중구 을지동 123-4", "x"), (2, "서울특별시 강남구 테헤란로 152", "강남파이낸스 센터"), (3, "부산광역시 해운대구 우동 1-1", "서울타워"), (4, "서울특별시 중구 을지동 123번지", None), (5, "서울특별시 중구 을지동 9", "qq"), (6, "경기도 부천시 중동 7", None)], "id int, address string, bld_nm string")
+    assert rows(resolve.address_to_pnu(certs, fp)) == [(1, "1114010100101230004", "lot"), (2, "1168010100100010000", "name"), (3, None, "no district"), (4, "1114010100101230000", "lot"), (5, None, "no match"), (6, "4119510100100070000", "lot")]
+
+
+def test_whole_addresses_are_found_anywhere_in_a_text(spark, rows):
+    import random
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abc 가1-") for _ in range(rng.randint(0, 30))) for _ in range(300)]
+    asked = [t[a:a + n] for t in texts[:60] for a, n in ((2, 1), (1, 2), (3, 3), (0, 4), (2, 9), (0, 40))] + ["zzz", "abcz", "", "가1-가1-가"]
+    buildings = spark.createDataFrame([(f"{i:019d}", t, None if i % 3 else t.upper()) for i, t in enumerate(texts)] + [("9", None, None)], "pnu string, road_addr string, jibun_addr string")
+    certs = spark.createDataFrame([(i, q) for i, q in enumerate(asked)] + [(-1, None)], "id int, address string")
+    for length in (None, 4):
+        want = []
+        for i, q in enumerate(asked):
+            q = q.strip(" ")[:length].lower()
+            hit = [f"{j:019d}" for j, t in enumerate(texts) if q and q in t.lower()]
+            want += [(i, min(hit))] if hit else []
+        assert sorted(rows(resolve.by_address(certs, buildings, length))) == sorted(want)
+    assert resolve.by_address(certs.limit(0), buildings).count() == 0 and resolve.by_address(certs, buildings.limit(0)).count() == 0
 
 
 def test_schemas_parse(spark):
