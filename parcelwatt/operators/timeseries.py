@@ -302,16 +302,19 @@ def _ridge(x, y):
     return lambda rows: np.column_stack([np.ones(len(rows)), (rows - mean) / std]) @ beta
 
 
+LEAST_ROWS = 30
+
+
 def _forecast_one(pdf, horizon: int, fit: Callable, typical: dict, holidays: set):
-    """One series: fit on its feature rows, then predict day by day feeding predictions back."""
+    """One series: fit on its feature rows, then predict day by day feeding predictions back; too short a series gives one row that says so."""
     import numpy as np
     import pandas as pd
 
-    empty = pd.DataFrame(columns=["ts_id", "day", "y_pred", "y_lower", "y_upper", "val_rmse", "residual_p90", "rows"])
+    columns = ["ts_id", "day", "y_pred", "y_lower", "y_upper", "val_rmse", "residual_p90", "rows", "reason"]
     pdf = pdf.sort_values("day")
     train = pdf.dropna(subset=[*FEATURE_COLUMNS, "y"])
-    if len(train) < 30:
-        return empty
+    if len(train) < LEAST_ROWS:
+        return pd.DataFrame([(pdf["ts_id"].iloc[0], *[None] * 6, len(train), f"fewer than {LEAST_ROWS} feature rows")], columns=columns)
     x, y = train[list(FEATURE_COLUMNS)].to_numpy(float), train["y"].to_numpy(float)
     predict = fit(x, y)
     residual = np.abs(y - np.clip(predict(x), 0.0, None))
@@ -332,12 +335,13 @@ def _forecast_one(pdf, horizon: int, fit: Callable, typical: dict, holidays: set
         row["dev_from_7d_avg"] = row["lag_1d"] - row["roll_mean_7d"]
         value = max(0.0, float(predict(np.array([[float(row[c]) for c in FEATURE_COLUMNS]]))[0]))
         history.append(value)
-        out.append((pdf["ts_id"].iloc[0], day.date(), value, max(0.0, value - p90), value + p90, rmse, p90, len(train)))
-    return pd.DataFrame(out, columns=empty.columns)
+        out.append((pdf["ts_id"].iloc[0], day.date(), value, max(0.0, value - p90), value + p90, rmse, p90, len(train), None))
+    return pd.DataFrame(out, columns=columns)
 
 
 def forecast(df: DataFrame, horizon: int = 7, fit: Callable | None = None) -> DataFrame:
-    """Recursive daily forecast of every series with a P90 residual band, never below 0.
+    """Recursive daily forecast of every series with a P90 residual band, never below 0; a series with too few feature rows has one row
+    without a day, and the reason.
 
     A group is one meter point's daily series, so its size is bounded by days, not by readings.
     ``fit(x, y)`` returns a predict function; the default is a ridge regression.

@@ -97,7 +97,7 @@ def test_top_k_survives_a_hot_key(spark):
 
 def test_resolution(spark, rows):
     fp = spark.createDataFrame([("1114010100101230004", "서울타워 빌딩"), ("1114010100101230000", "남산 상가"), ("1168010100100010000", "강남 파이낸스 센터"), ("4119510100100070000", None)], "pnu string, bld_nm string")
-    certs = spark.createDataFrame([(1, "서울특별시 중구 을지동 123-4", "x"), (2, "서울특별시 강남구 테헤란로 152", "강남파이낸스 센터"), (3, "부산광역시 해운대구 우동 1-1", "서울타워"), (4, "서울특별시 중구 을지동 123번지", None), (5, "서울특별시 중구 을지동 9", "qq"), (6, "경기도 부천시 중동 7", None)], "id int, address string, bld_nm string")
+    certs = spark.createDataFrame([(1, "서울특별시 중구 을지동 123-4", "x"), (2, "서울특별시 강남구 테헤란로 152", "강남파이낸스 센터"), (3, "부산광역시 해운대구 우동 1-1", "서울타워"), (4, "서울특별시 중구 을지동 123번지", None), (5, "서울특별시 중구 을지동 9", "qq"), (6, "경기도 부천시 중동 7번지", None)], "id int, address string, bld_nm string")
     assert rows(resolve.address_to_pnu(certs, fp)) == [(1, "1114010100101230004", "lot"), (2, "1168010100100010000", "name"), (3, None, "no district"), (4, "1114010100101230000", "lot"), (5, None, "no match"), (6, "4119510100100070000", "lot")]
 
 

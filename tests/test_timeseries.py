@@ -87,7 +87,10 @@ def test_forecast_runs_per_series(spark):
     data = [("a", d.date(), float(100 * (0.5 if d.dayofweek >= 5 else 1.0) + rng.normal(0, 5))) for d in days]
     data += [("short", d.date(), 1.0) for d in days[:40]]
     out = ts.forecast(spark.createDataFrame(data, "ts_id string, day date, y double"), 7).toPandas()
-    assert set(out["ts_id"]) == {"a"} and len(out) == 7
+    short = out[out["ts_id"] == "short"]
+    assert len(short) == 1 and short["day"].isna().all() and short["y_pred"].isna().all() and "30" in short["reason"].iloc[0]
+    out = out[out["ts_id"] != "short"]
+    assert set(out["ts_id"]) == {"a"} and len(out) == 7 and out["reason"].isna().all()
     assert (out["y_lower"] <= out["y_pred"]).all() and (out["y_pred"] <= out["y_upper"]).all() and (out["y_lower"] >= 0).all()
     assert out["day"].min() == (days[-1] + pd.Timedelta(days=1)).date() and out["val_rmse"].iloc[0] < 20
 
