@@ -285,7 +285,7 @@ def training_frame(df: DataFrame, weather: DataFrame | None = None, min_rows: in
 # ── forecast ─────────────────────────────────────────────────────────────────
 
 FORECAST_SCHEMA = (
-    "ts_id {id}, day date, y_pred double, y_lower double, y_upper double, val_rmse double, residual_p90 double, rows int"
+    "ts_id {id}, day date, y_pred double, y_lower double, y_upper double, val_rmse double, residual_p90 double, rows int, reason string"
 )
 
 
