@@ -93,6 +93,14 @@ class _Blocks(HTMLParser):
         self.linked = 0
         self.flags = 0
 
+    def parse_marked_section(self, i, report=1):
+        """Sections that the parser does not know, such as ``<![foo[ x ]]>``, are comments up to the next ``>``, as in browsers."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            end = self.rawdata.find(">", i + 3)
+            return end + 1 if end >= 0 else -1
+
     def _end_block(self) -> None:
         words = "".join(self.parts).split()
         if words:

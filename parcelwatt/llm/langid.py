@@ -30,7 +30,7 @@ ORDERS = (1, 2, 3, 4)
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes and counts of the n-grams of a text; a code packs four characters, 16 bits each, shorter n-grams with zeros in front."""
     plain = f" {_OTHER.sub(' ', text.lower()).strip()} "
-    if plain == "  ":
+    if not any(map(str.isalpha, plain)):  # signs such as superscripts and Roman numerals are word characters, but no letters
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     points = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = (points % 65521).astype(np.uint64)

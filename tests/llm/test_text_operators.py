@@ -430,3 +430,18 @@ def test_toxicity_sample_goes_on_after_an_oversize_text(spark, monkeypatch):  #
     toxicity.fit(frame, frame.selectExpr("doc_id", "int(doc_id % 2) AS toxic"), sample_chars=50)
     assert sorted(taken) == [("xxxxx", 0)] * 4 + [("xxxxx", 1)] * 4
     assert toxicity.STRIDE <= toxicity.WINDOW // 2
+
+
+def test_malformed_sections_are_comments():
+    tree = htmltext.Tree(*htmltext.labelled_table())
+    text = "The council met on Monday and agreed on the new bridge, which will be built over the river next year after a long debate among all members."
+    for bad in ("<![foo[ x ]]>", "<![ ]>", "<![>", "<![CDATA[ y ]]>", "<![if !IE]>", "<!>", "<!doctype x>"):
+        assert htmltext.main_text(f"<body><article><p>{text}</p>{bad}<p>{text}</p></article></body>", tree) == f"{text}\n\n{text}", bad
+    assert text in htmltext.main_text(f"<body><article><p>{text}</p><![foo", tree)
+
+
+@pytest.mark.parametrize("text", ["²", "½ ³", "Ⅷ", "12 345", "!?", "", None])
+def test_texts_without_letters_have_no_language(spark, text):  # noqa: F811
+    docs = spark.createDataFrame([(1, "the cat sat on the mat and the dog", "en"), (2, "der hund und die katze sind im haus", "de")], "doc_id long, text string, lang string")
+    got = langid.predict(spark.createDataFrame([(9, text), (8, "x² the cat")], "doc_id long, text string"), langid.fit(docs)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 9] == [("und", 0.0)] and all(r["lang_pred"] == "en" for r in got if r["doc_id"] == 8)
