@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from parcelwatt.functions import geo, hazard
-from parcelwatt.operators import enrich, fire, graph, spatial, upsert
+from parcelwatt.operators import enrich, fire, graph, quadtree, spatial, upsert
 from parcelwatt.operators import query as Q, routes as routes_
 from parcelwatt.operators import stats
 from standin_queries.base import (
@@ -57,6 +57,42 @@ def bbox_join(spark, sf):
     return spatial.bbox_join(b, b, 200.0)
 
 
+def crowded(spark, sf):
+    """Nine of ten points in a hundredth of the extent, every 500th far away."""
+    p, far = points(spark, sf), F.col("id") % 500 == 0
+    move = lambda c, middle, off: F.when(far, F.col(c) + off).when(F.col("id") % 10 < 9, middle + 0.01 * (F.col(c) - middle)).otherwise(F.col(c)).alias(c)
+    return p.select("id", move("lng", 126.9, 40.0), move("lat", 37.5, -60.0))
+
+
+CROWDED = POINTS + """, crowded AS (SELECT id, CASE WHEN id % 500 = 0 THEN lng + 40.0::DOUBLE WHEN id % 10 < 9 THEN 126.9::DOUBLE + 0.01::DOUBLE * (lng - 126.9::DOUBLE) ELSE lng END AS lng,
+ CASE WHEN id % 500 = 0 THEN lat + -60.0::DOUBLE WHEN id % 10 < 9 THEN 37.5::DOUBLE + 0.01::DOUBLE * (lat - 37.5::DOUBLE) ELSE lat END AS lat FROM points)"""
+
+
+@query("knn_tree", f"""WITH {CROWDED}, near AS (SELECT p.id, s.id AS target_id, {HAVERSINE('p', 's')} AS d FROM crowded p JOIN crowded s ON s.id >= 0)
+ SELECT id, target_id, {R('d', 4)} AS distance_m, row_number() OVER (PARTITION BY id ORDER BY d, target_id) AS rank FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, target_id) <= 3""")
+def knn_tree(spark, sf):
+    p = crowded(spark, sf)
+    return rounded(quadtree.knn(p, p, 3, capacity=64), 4, "distance_m")
+
+
+@query("pip_tree", f"""WITH {CROWDED}, shapes AS (SELECT id, lng, lat, CASE WHEN id % 70 = 0 THEN 0.03::DOUBLE ELSE 0.0002::DOUBLE END AS w FROM crowded WHERE id % 7 = 0)
+ SELECT p.id, s.id AS polygon_id FROM crowded p JOIN shapes s ON p.id <> s.id AND abs(p.lat - s.lat) < s.w AND abs(p.lng - s.lng) < s.w * (1 - abs(p.lat - s.lat) / s.w)""")
+def pip_tree(spark, sf):
+    """Points in diamonds of two sizes around every seventh point, but for the middle itself."""
+    x, y, w = F.col("lng"), F.col("lat"), F.when(F.col("id") % 70 == 0, 0.03).otherwise(0.0002)
+    at = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    none = F.lit(0.0)
+    ring = F.array(at(w, none), at(none, w), at(-w, none), at(none, -w), at(w, none))
+    shapes = crowded(spark, sf).filter("id % 7 = 0").select(F.col("id").alias("polygon_id"), F.array(ring).alias("rings"))
+    return quadtree.pip(crowded(spark, sf), shapes, capacity=64).filter("id <> polygon_id")
+
+
+@query("pairs_tree", f"""WITH {CROWDED} SELECT id_a, id_b, {R('distance_m', 4)} AS distance_m FROM (SELECT a.id AS id_a, b.id AS id_b, {HAVERSINE('a', 'b')} AS distance_m FROM crowded a JOIN crowded b ON a.id < b.id)
+ WHERE distance_m <= 40""")
+def pairs_tree(spark, sf):
+    return rounded(quadtree.pairs_within(crowded(spark, sf), 40.0, capacity=64), 4, "distance_m")
+
+
 @query("haversine", f"""WITH {STATIONS} SELECT p.id, {R(HAVERSINE('p', 's'), 4)} AS metres FROM points p JOIN stations s ON s.id = p.label""")
 def haversine(spark, sf):
     s = stations(spark, sf).toDF("label", "slng", "slat")
