@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from parcelwatt.functions import geo, hazard
-from parcelwatt.operators import enrich, fire, graph, quadtree, spatial, upsert
+from parcelwatt.operators import enrich, fire, graph, quadtree, spatial, upsert, validity
 from parcelwatt.operators import query as Q, routes as routes_
 from parcelwatt.operators import stats
 from standin_queries.base import (
@@ -93,6 +93,28 @@ def pairs_tree(spark, sf):
     return rounded(quadtree.pairs_within(crowded(spark, sf), 40.0, capacity=64), 4, "distance_m")
 
 
+_ON = "(CASE WHEN {0} = 0 AND {1} = 0 THEN sx >= 0 AND sy >= 0 ELSE {0} * {1} <= 0 AND {2} * {3} <= 0 END)".format("s1", "s2", "s3", "s4")
+
+
+@query("ring_validity", f"""WITH corner AS (SELECT vec_id AS id, CAST(i AS INT) AS i, floor(16 * embedding[2 * (i % 5) + 1]::DOUBLE) AS x, floor(16 * embedding[2 * (i % 5) + 2]::DOUBLE) AS y FROM embeddings, range(6) r(i)),
+ flat AS (SELECT id, sum(x * ny - nx * y) = 0 AS flat FROM (SELECT *, lead(x) OVER o AS nx, lead(y) OVER o AS ny FROM corner WINDOW o AS (PARTITION BY id ORDER BY i)) WHERE nx IS NOT NULL GROUP BY 1),
+ fresh AS (SELECT id, i, x, y FROM (SELECT *, lag(x) OVER o AS ox, lag(y) OVER o AS oy FROM corner WINDOW o AS (PARTITION BY id ORDER BY i)) WHERE ox IS NULL OR ox <> x OR oy <> y),
+ seg AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS k, count(*) OVER (PARTITION BY id) AS n, x AS px, y AS py, nx AS qx, ny AS qy FROM (SELECT *, lead(x) OVER o AS nx, lead(y) OVER o AS ny FROM fresh WINDOW o AS (PARTITION BY id ORDER BY i)) WHERE nx IS NOT NULL),
+ pair AS (SELECT a.id, b.k - a.k IN (1, a.n - 1) AS beside,
+   sign((a.qx - a.px) * (b.py - a.py) - (a.qy - a.py) * (b.px - a.px)) AS s1, sign((a.qx - a.px) * (b.qy - a.py) - (a.qy - a.py) * (b.qx - a.px)) AS s2,
+   sign((b.qx - b.px) * (a.py - b.py) - (b.qy - b.py) * (a.px - b.px)) AS s3, sign((b.qx - b.px) * (a.qy - b.py) - (b.qy - b.py) * (a.qx - b.px)) AS s4,
+   least(greatest(a.px, a.qx), greatest(b.px, b.qx)) - greatest(least(a.px, a.qx), least(b.px, b.qx)) AS sx,
+   least(greatest(a.py, a.qy), greatest(b.py, b.qy)) - greatest(least(a.py, a.qy), least(b.py, b.qy)) AS sy FROM seg a JOIN seg b ON a.id = b.id AND a.k < b.k),
+ bad AS (SELECT DISTINCT id FROM pair WHERE CASE WHEN beside THEN s1 = 0 AND s2 = 0 AND sx >= 0 AND sy >= 0 AND greatest(sx, sy) > 0 ELSE {_ON} END)
+ SELECT id, NOT flat AND bad.id IS NULL AS valid, CASE WHEN flat THEN 'ring' WHEN bad.id IS NOT NULL THEN 'crossing' END AS reason FROM flat LEFT JOIN bad USING (id)""")
+def ring_validity(spark, sf):
+    """Rings of five corners on whole numbers: many cross, touch or run back on themselves."""
+    c = lambda i: F.floor(16 * F.col("embedding")[i].cast("double")).cast("double")
+    corner = [F.struct(c(2 * (i % 5)).alias("x"), c(2 * (i % 5) + 1).alias("y")) for i in range(6)]
+    shapes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.array(F.array(*corner)).alias("rings"))
+    return validity.validity(shapes).drop("rings")
+
+
 @query("haversine", f"""WITH {STATIONS} SELECT p.id, {R(HAVERSINE('p', 's'), 4)} AS metres FROM points p JOIN stations s ON s.id = p.label""")
 def haversine(spark, sf):
     s = stations(spark, sf).toDF("label", "slng", "slat")
