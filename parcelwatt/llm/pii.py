@@ -18,6 +18,9 @@ null ids are kept; an empty table gives no rows; ``redacted`` keeps all columns
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from parcelwatt.llm.common import cut, free_name
@@ -130,7 +133,7 @@ def _joined(scanned: DataFrame) -> DataFrame:
 
     def united(h, k):
         end = F.coalesce(F.try_element_at("heads", k + 2) - 1, F.size("tokens"))
-        value = F.array_join(F.transform(F.slice("tokens", h, end - h + 1), lambda t: t["value"]), " ")
+        value = F.array_join(F.transform(F.sequence(h, end), lambda i: token(i)["value"]), " ")
         return F.struct(token(h)["start"].alias("start"), token(end)["stop"].alias("stop"), value.alias("value"),
                         token(h)["before"].alias("before"), token(end)["after"].alias("after"), token(h)["touch"].alias("touch"))
 
@@ -163,18 +166,22 @@ def discover(scanned: DataFrame, rounds: int | None = None, support: int = 5, co
     # a pattern of too few instances can never count, whatever they turn out to be
     usable = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") >= support)
     graph = cut(graph.join(usable, "pattern").select("pattern", "instance"))
+    # only instances that a pattern of the graph holds can give or take belief
+    seeds = cut(seeds.join(graph.select("instance").distinct(), "instance", "left_semi"))
     score = seeds.select("*", *(F.col(f"s{i}").alias(f"b{i}") for i in every))  # s: score, b: 1 if believed
-    done, last = 0, (-1.0, 0)
+    done, last = 0, None
     while True:
         belief = [F.when(F.sum(f"b{i}") >= support, F.sum(f"s{i}") / (F.count(F.lit(1)) + prior)).otherwise(0.0).alias(f"c{i}") for i in every]
         patterns = cut(graph.join(score, "instance").groupBy("pattern").agg(*belief).where(F.greatest(*(f"c{i}" for i in every)) > 0))
-        # confidences never fall from round to round: the end is where none becomes sure and their sum stands still to 0.001
-        sure = sum((F.when(F.col(f"c{i}") >= confidence, 1).otherwise(0) for i in every), F.lit(0))
-        now = patterns.agg(F.coalesce(F.sum(sum((F.col(f"c{i}") for i in every), F.lit(0.0))), F.lit(0.0)), F.coalesce(F.sum(sure), F.lit(0))).first()
+        # confidences never fall from round to round: the end is where none becomes sure and none rises by over 0.001
+        old = [F.lit(0.0)] * len(KINDS) if last is None else [F.coalesce(f"o{i}", F.lit(0.0)) for i in every]
+        moved = patterns if last is None else patterns.join(last, "pattern", "left")
+        rises = [(F.col(f"c{i}") - o > 1e-3) | (F.col(f"c{i}") >= confidence) & (o < confidence) for i, o in zip(every, old)]
+        still = moved.where(reduce(or_, rises)).isEmpty()
         done += 1
-        if now[0] - last[0] <= 1e-3 and now[1] == last[1] or now[0] == 0 or done == rounds:
+        if still or done == rounds:
             break
-        last = tuple(now)
+        last = patterns.select("pattern", *(F.col(f"c{i}").alias(f"o{i}") for i in every))
         doubt = [F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col(f"c{i}")))).alias(f"l{i}") for i in every]
         shown = [F.max(F.when(F.col(f"c{i}") >= confidence, 1.0).otherwise(0.0)).alias(f"m{i}") for i in every]
         judged = graph.join(patterns, "pattern").groupBy("instance").agg(*doubt, *shown)
@@ -213,11 +220,15 @@ def mask(text: Column, spans: Column) -> Column:
     ).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))).cast(kind))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     before = lambda runs, i: F.coalesce(F.try_element_at(runs, i)["stop"], F.lit(0))
-    parts = F.transform(joined, lambda s, i: F.concat(
-        F.substring(text, F.when(i == 0, 1).otherwise(before(joined, F.greatest(i, F.lit(1))) + 1), s["start"] - F.when(i == 0, 0).otherwise(before(joined, F.greatest(i, F.lit(1))))),
-        F.element_at(names, s["kind"] + 1)))
-    tail = F.substring(text, F.try_element_at(joined, F.lit(-1))["stop"] + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)
+
+    def replaced(runs: Column) -> Column:
+        parts = F.transform(runs, lambda s, i: F.concat(
+            F.substring(text, F.when(i == 0, 1).otherwise(before(runs, F.greatest(i, F.lit(1))) + 1), s["start"] - F.when(i == 0, 0).otherwise(before(runs, F.greatest(i, F.lit(1))))),
+            F.element_at(names, s["kind"] + 1)))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.try_element_at(runs, F.lit(-1))["stop"] + 1, F.length(text)))
+
+    # the runs as the one element of an array, so that they are found once and not again for each part
+    return F.when(F.size(spans) > 0, F.element_at(F.transform(F.array(joined), replaced), 1)).otherwise(text)
 
 
 def redacted(docs: DataFrame, **options) -> DataFrame:
