@@ -12,12 +12,14 @@ further patterns. Instances that no base span touches become spans of a kind whe
 Graph rows are distinct (pattern, instance) pairs over distinct texts, so neither copies of a text nor a frequent pattern
 make one task's work grow: all sums are partial aggregates, and joins are left to adaptive skew handling.
 
-Positions are code points, the end exclusive. Defined results: a null text is an empty one; repeated rows give one result each;
+Positions are code points, the end exclusive. Very long texts are taken whole, in work that grows with the number of their tokens times
+its square root; of spans that begin at one place the kind listed first comes first. Defined results: a null text is an empty one; repeated rows give one result each;
 null ids are kept; an empty table gives no rows; ``redacted`` keeps all columns of its input.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -60,28 +62,68 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _blocks(items: Column) -> Column:
+    """``items`` in blocks of about the square root of their number."""
+    def cut_up(a):
+        width = F.ceil(F.sqrt(F.size(a))).cast("int")
+        return F.when(F.size(a) == 0, F.slice(F.array(a), 1, 0)).otherwise(
+            F.transform(F.sequence(F.lit(1), F.greatest(F.size(a), F.lit(1)), F.greatest(width, F.lit(1))), lambda at: F.slice(a, at, width)))
+
+    return _bound(items, cut_up)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of the whole numbers, 0 or more, what ``join`` (a sum, a maximum) makes of those before it; 0 for the first.
+
+    Block by block, so that no array longer than a block grows by appending: the work is the number times its square root.
+    """
+    def plain(a):
+        def step(state, v):
+            return F.struct(join(state["at"], v).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+        return F.aggregate(a, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), step, lambda state: state["out"])
+
+    def by_block(blocks):
+        heads = plain(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda so_far, v: join(so_far, v))))
+        return _bound(heads, lambda h: F.flatten(F.transform(blocks, lambda b, i: F.transform(plain(b), lambda v: join(v, F.get(h, i))))))
+
+    return _bound(_blocks(values), by_block)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _greater(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
 def _matches(text: Column, pattern: str, hint: str, context: int = 0) -> Column:
     """array of (start, stop, value[, before, after]: up to ``context`` words in lower case) of all matches: the texts between matches, from a split at the same pattern, give the positions."""
     fields = "start:int,stop:int,value:string" + (",before:array<string>,after:array<string>" if context else "")
     kind = f"array<struct<{fields}>>"
-    between = F.split(text, pattern, -1)
-    # one element for each match and one for the text after the last; the aggregate reads each array once
-    arrays = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.transform(between, F.length).alias("gap")]
-    if context:
-        last = lambda g: F.slice(_words(g), F.greatest(F.size(_words(g)) - context + 1, F.lit(1)), F.lit(context))
-        arrays.append(F.transform(between, last).alias("before"))
-        arrays.append(F.slice(F.transform(between, lambda g: F.slice(_words(g), 1, context)), 2, 2_000_000_000).alias("after"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(state, m):
-        begin = state["at"] + m["gap"]
-        stop = begin + F.coalesce(F.length(m["value"]), F.lit(0))
-        one = F.struct(begin.alias("start"), stop.alias("stop"), m["value"].alias("value"), *([m["before"].alias("before"), m["after"].alias("after")] if context else []))
-        return F.struct(stop.alias("at"), F.when(m["value"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(one)).cast(kind)).alias("out"))
-
-    spans = F.aggregate(F.arrays_zip(*arrays), start, step, lambda s: s["out"])
+
+    def placed(values, between):
+        # the text before a match and the match itself, by turns; the running sum at a match is its start
+        ends = F.transform(values, lambda v, i: F.length(F.get(between, i)) + F.length(v))
+        arrays = [values.alias("value"), _running(ends, _sum).alias("begin"), F.transform(F.slice(between, 1, F.size(values)), F.length).alias("gap")]
+        if context:
+            last = lambda g: _bound(_words(g), lambda w: F.slice(w, F.greatest(F.size(w) - context + 1, F.lit(1)), F.lit(context)))
+            arrays.append(F.transform(F.slice(between, 1, F.size(values)), last).alias("before"))
+            arrays.append(F.transform(F.slice(between, 2, F.size(values)), lambda g: F.slice(_words(g), 1, context)).alias("after"))
+        return F.transform(F.arrays_zip(*arrays), lambda m: F.struct(
+            (m["begin"] + m["gap"]).alias("start"), (m["begin"] + m["gap"] + F.length(m["value"])).alias("stop"), m["value"].alias("value"),
+            *([m["before"].alias("before"), m["after"].alias("after")] if context else [])))
+
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    spans = _bound(found, lambda values: _bound(F.split(text, pattern, -1), lambda between: placed(values, between)))
     any_match = text.contains(hint) & text.rlike(pattern) if hint else text.rlike(pattern)
-    return F.when(any_match, spans).otherwise(F.array().cast(kind))
+    return F.when(any_match, spans.cast(kind)).otherwise(F.array().cast(kind))
 
 
 def _span_type(spans: Column, kind: int) -> Column:
@@ -117,10 +159,17 @@ def _words(text: Column) -> Column:
 
 def _joined(scanned: DataFrame) -> DataFrame:
     """digest, tokens of every distinct text that has some: neighbouring tokens of digits as one; touch is the first base span on it."""
-    touch = lambda t: F.try_element_at(F.filter("base", lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"])), F.lit(1))
     once = scanned.where(F.size("tokens") > 0).select("digest", "base", "tokens").dropDuplicates(["digest"])
-    marked = once.select("digest", F.transform("tokens", lambda t: F.struct(
-        *(t[c].alias(c) for c in ("start", "stop", "value", "before", "after")), touch(t).alias("touch"))).alias("tokens"))
+
+    def touched(blocks):
+        """The tokens with the first base span on each, looked for in the blocks of base spans that reach it."""
+        reaching = lambda t, held: F.filter(held, lambda b: (b["start"] < t["stop"]) & (b["stop"] > t["start"]))
+        touch = lambda t: F.get(F.flatten(F.transform(reaching(t, blocks), lambda b: reaching(t, b["held"]))), F.lit(0))
+        return F.transform("tokens", lambda t: F.struct(*(t[c].alias(c) for c in ("start", "stop", "value", "before", "after")), touch(t).alias("touch")))
+
+    reach = F.transform(_blocks(F.col("base")), lambda held: F.struct(
+        F.array_min(held["start"]).alias("start"), F.array_max(held["stop"]).alias("stop"), held.alias("held")))
+    marked = once.select("digest", _bound(reach, touched).alias("tokens"))
     token = lambda i: F.element_at("tokens", i)
     number = lambda t: ~t["value"].rlike(r"[\p{L}@]")
 
@@ -142,7 +191,8 @@ def _joined(scanned: DataFrame) -> DataFrame:
 
 def mentions(scanned: DataFrame) -> DataFrame:
     """One row per instance of every distinct text: digest, start, stop, value, kind (null if no base span touches it), patterns."""
-    tokens = _joined(scanned).select("digest", F.explode("tokens").alias("m"))
+    # every text here has tokens; a plain explode would ask for that again below the projections, with the heads found anew for each token
+    tokens = _joined(scanned).select("digest", F.explode_outer("tokens").alias("m"))
     before, after = F.col("m.before"), F.col("m.after")
     at = lambda words, i: F.coalesce(F.try_element_at(words, F.lit(i)), F.lit("|"))
     patterns = F.array(
@@ -210,25 +260,33 @@ def spans(docs: DataFrame, **options) -> DataFrame:
 
 
 def mask(text: Column, spans: Column) -> Column:
-    """``text`` with each run of touching or overlapping spans replaced by the kind of its first span in angle brackets."""
-    kind = "array<struct<start:int,kind:int,stop:int>>"
-    joined = F.aggregate(spans, F.array().cast(kind), lambda out, s: F.when(
-        (F.size(out) > 0) & (s["start"] < F.try_element_at(out, F.lit(-1))["stop"]),
-        F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(
-            F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.try_element_at(out, F.lit(-1))["kind"].alias("kind"),
-            F.greatest(F.try_element_at(out, F.lit(-1))["stop"], s["stop"]).alias("stop")))),
-    ).otherwise(F.concat(out, F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"))))).cast(kind))
+    """``text`` with each run of overlapping spans (sorted) replaced by the kind of its first span in angle brackets."""
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    before = lambda runs, i: F.coalesce(F.try_element_at(runs, i)["stop"], F.lit(0))
-
-    def replaced(runs: Column) -> Column:
-        parts = F.transform(runs, lambda s, i: F.concat(
-            F.substring(text, F.when(i == 0, 1).otherwise(before(runs, F.greatest(i, F.lit(1))) + 1), s["start"] - F.when(i == 0, 0).otherwise(before(runs, F.greatest(i, F.lit(1))))),
-            F.element_at(names, s["kind"] + 1)))
-        return F.concat(F.array_join(parts, ""), F.substring(text, F.try_element_at(runs, F.lit(-1))["stop"] + 1, F.length(text)))
 
-    # the runs as the one element of an array, so that they are found once and not again for each part
-    return F.when(F.size(spans) > 0, F.element_at(F.transform(F.array(joined), replaced), 1)).otherwise(text)
+    def runs(held, reached):
+        """(start, kind, stop) of the runs; reached: the furthest stop before each span."""
+        heads = F.filter(F.sequence(F.lit(0), F.size(held) - 1), lambda i: (i == 0) | (F.get(held, i)["start"] >= F.get(reached, i)))
+        furthest = F.array_max(held["stop"])
+        return _bound(heads, lambda h: F.transform(h, lambda at, i: F.struct(
+            F.get(held, at)["start"].alias("start"), F.get(held, at)["kind"].alias("kind"),
+            F.when(i + 1 < F.size(h), F.get(reached, F.get(h, i + 1))).otherwise(furthest).alias("stop"))))
+
+    def replaced(block, begin):
+        """One block of runs with the text before each from ``begin`` on, cut from a slice of the text that ends with the block."""
+        def cut_from(piece):
+            after = lambda i: F.when(i == 0, begin).otherwise(F.get(block, F.greatest(i - 1, F.lit(0)))["stop"])
+            return F.array_join(F.transform(block, lambda s, i: F.concat(
+                F.substring(piece, after(i) - begin + 1, s["start"] - after(i)), F.element_at(names, s["kind"] + 1))), "")
+
+        return _bound(F.substring(text, begin + 1, F.get(block, F.size(block) - 1)["stop"] - begin), cut_from)
+
+    def masked(blocks):
+        ended = lambda i: F.get(F.get(blocks, i), F.size(F.get(blocks, i)) - 1)["stop"]
+        parts = F.transform(blocks, lambda b, i: replaced(b, F.when(i == 0, F.lit(0)).otherwise(ended(F.greatest(i - 1, F.lit(0))))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, ended(F.size(blocks) - 1) + 1, F.length(text)))
+
+    whole = _bound(spans, lambda held: _bound(_running(held["stop"], _greater), lambda reached: _bound(_blocks(runs(held, reached)), masked)))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def redacted(docs: DataFrame, **options) -> DataFrame:

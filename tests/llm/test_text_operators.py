@@ -445,3 +445,28 @@ def test_texts_without_letters_have_no_language(spark, text):  # noqa: F811
     docs = spark.createDataFrame([(1, "the cat sat on the mat and the dog", "en"), (2, "der hund und die katze sind im haus", "de")], "doc_id long, text string, lang string")
     got = langid.predict(spark.createDataFrame([(9, text), (8, "x² the cat")], "doc_id long, text string"), langid.fit(docs)).collect()
     assert [(r["lang_pred"], r["score"]) for r in got if r["doc_id"] == 9] == [("und", 0.0)] and all(r["lang_pred"] == "en" for r in got if r["doc_id"] == 8)
+
+
+def test_pii_very_long_texts(spark):  # noqa: F811
+    """One text of very many tokens and one of very many addresses: each span is found, and the mask takes all of them."""
+    digits = " ".join(f"word {i}" for i in range(50_000))
+    mails = [f"u{i}@h{i % 9}.org" for i in range(5_000)]
+    frame = spark.createDataFrame([(1, digits), (2, " ".join(f"mail {m} now" for m in mails))], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.spans(frame).collect()}
+    at, expected = 0, []
+    for m in mails:
+        expected.append((at + 5, 0, at + 5 + len(m)))
+        at += len(m) + 10
+    assert got[1] == [] and got[2] == expected
+    texts = {r["doc_id"]: r["text"] for r in pii.redacted(frame).collect()}
+    assert texts[1] == digits and texts[2] == " ".join(["mail <EMAIL> now"] * len(mails))
+
+
+def test_pii_running_and_blocks(spark):  # noqa: F811
+    rows = [([],), ([3],), ([2, 9, 1],), (list(range(200, 0, -7)),)]
+    frame = spark.createDataFrame(rows, "v array<int>").select(
+        "v", pii._running(F.col("v"), pii._sum).alias("sums"), pii._running(F.col("v"), pii._greater).alias("tops"), pii._blocks(F.col("v")).alias("blocks"))
+    for r in frame.collect():
+        assert r["sums"] == [sum(r["v"][:i]) for i in range(len(r["v"]))]
+        assert r["tops"] == [max([0, *r["v"][:i]]) for i in range(len(r["v"]))]
+        assert [x for b in r["blocks"] for x in b] == r["v"]
