@@ -9,6 +9,7 @@ from parcelwatt.dims import values as V
 from parcelwatt.functions import energy as E
 from parcelwatt.functions.classify import USAGE_KEYS
 from parcelwatt.operators import carbon, energy, retrofit, tables, upsert
+from parcelwatt.plans import table_functions
 from standin_queries.base import (
     BATCHES, BUILDING, R, RESULT, batches, building, query, result, rounded, table,
 )
@@ -159,6 +160,18 @@ def carbon_apply(spark, sf):
     return df.select("pnu", "data_tier", *carbon.COLUMNS)
 
 
+@query("sql_carbon_update", f"""WITH {RESULT}, {_MIX}, j AS (SELECT r.pnu, r.simulation_type, r.reference_year, total_energy, r.simulation_type = 'tier_c_metered' AS metered, nullif(b.total_area, 0) AS area, total_energy * coalesce(m.e, 0.65) AS e2, total_energy * coalesce(m.g, 0.35) AS g2, total_energy * coalesce(m.d, 0) AS d2,
+  greatest(coalesce(elec_kwh, 0), 0) AS e1, greatest(coalesce(gas_kwh, 0), 0) AS g1, greatest(coalesce(dh_kwh, 0), 0) AS d1 FROM result r JOIN building b USING (pnu) LEFT JOIN mix m ON m.usage_type = b.usage_type WHERE r.is_current AND r.reference_year = 1998 AND total_energy > 0)
+ SELECT pnu, simulation_type, CAST(reference_year AS BIGINT) AS reference_year, total_energy, CASE WHEN metered THEN {R(_sum(_C, ('e1', 'g1', 'd1')), 1)} ELSE {R(f"({_sum(_C, ('e2', 'g2', 'd2'))}) * area", 1)} END AS co2_kg_yr,
+ CASE WHEN metered THEN {R(f"({_sum(_C, ('e1', 'g1', 'd1'))}) / area", 2)} ELSE {R(_sum(_C, ('e2', 'g2', 'd2')), 2)} END AS co2_kg_m2,
+ CASE WHEN metered THEN {R(_sum(_P, ('e1', 'g1', 'd1')), 1)} ELSE {R(f"({_sum(_P, ('e2', 'g2', 'd2'))}) * area", 1)} END AS primary_energy_kwh_yr,
+ CASE WHEN metered THEN {R(f"({_sum(_P, ('e1', 'g1', 'd1'))}) / area", 1)} ELSE {R(_sum(_P, ('e2', 'g2', 'd2')), 1)} END AS primary_energy_kwh_m2 FROM j""")
+def sql_carbon_update(spark, sf):
+    """The table function called from SQL text for the results of one year."""
+    name = table_functions.register_carbon_update(spark, result(spark, sf), building(spark, sf), "carbon_of_year")
+    return spark.sql(f"SELECT * FROM {name}(1998)")
+
+
 @query("carbon_totals", f"""WITH {BUILDING}, {_MIX} SELECT gid, {R(_sum(_C, [f'total_area * 120 * coalesce({c}, {d})' for c, d in (('e', 0.65), ('g', 0.35), ('d', 0.0))]), 1)} AS co2_kg_yr,
  {R('(' + _sum(_P, [f'total_area * 120 * coalesce({c}, {d})' for c, d in (('e', 0.65), ('g', 0.35), ('d', 0.0))]) + ') / total_area', 1)} AS primary_energy_kwh_m2 FROM building LEFT JOIN mix USING (usage_type) WHERE total_area > 0""")
 def carbon_totals(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parcelwatt.functions.energy import to_kwh, total_kwh
 from parcelwatt.operators import fire, query as Q, quality, timeseries as ts, upsert
+from parcelwatt.plans import table_functions
 from standin_queries.base import (
     D, DAILY, FILLED, METER_POINTS, MONITORED, READING, SERIES, R, TS, daily, monitored, points_of_meters, query, reading, rounded, series, table,
 )
@@ -100,6 +101,19 @@ def annual_metered(spark, sf):
     return rounded(rounded(df, 2, "elec_kwh", "gas_kwh", "dh_kwh", "total_kwh"), 4, "avg_coverage")
 
 
+@query("sql_annual_metered", f"""WITH {DAILY}, {METER_POINTS} SELECT CAST(year(day) AS BIGINT) AS year, pnu, ts_id, {R("sum(CASE WHEN meter_type='electricity' THEN total_kwh ELSE 0 END)", 2)} AS elec_kwh,
+ {R("sum(CASE WHEN meter_type='gas' THEN total_kwh ELSE 0 END)", 2)} AS gas_kwh, {R("sum(CASE WHEN meter_type='heat' THEN total_kwh ELSE 0 END)", 2)} AS dh_kwh,
+ {R("sum(CASE WHEN meter_type<>'water' THEN total_kwh ELSE 0 END)", 2)} AS total_kwh, count(DISTINCT meter_type) AS meter_count, {R('avg(coverage_pct)', 4)} AS avg_coverage
+ FROM daily JOIN meter_points USING (ts_id) WHERE coverage_pct >= 50 GROUP BY 1, 2, 3 HAVING sum(CASE WHEN meter_type<>'water' THEN total_kwh ELSE 0 END) > 0""")
+def sql_annual_metered(spark, sf):
+    """The table function called from SQL text, once for each year of the daily series."""
+    every = daily(spark, sf)
+    every.select(F.year("day").alias("year")).distinct().createOrReplaceTempView("metered_years")
+    name = table_functions.register_annual_metered(spark, every, points_of_meters(spark, sf), "annual_metered_totals")
+    df = spark.sql(f"SELECT y.year, t.* FROM metered_years y, LATERAL {name}(y.year, 50D) t")
+    return rounded(rounded(df, 2, "elec_kwh", "gas_kwh", "dh_kwh", "total_kwh"), 4, "avg_coverage")
+
+
 _IN30, _IN90, _YTD = "day >= DATE '2001-07-03'", "day >= DATE '2001-05-04'", "day >= DATE '2001-01-01'"
 
 
