@@ -27,6 +27,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
+TASK_ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, rows: int, keys: list[str], per_task: int = TASK_ROWS) -> DataFrame:
+    """``df`` of counted ``rows`` dealt by ``keys`` to as many tasks as keep each at about ``per_task`` rows; unchanged when one would do."""
+    return df.repartition(-(-rows // per_task), *keys) if rows > per_task else df
+
+
 def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in ``order``."""
     return top_k(df, keys, order, 1)

@@ -19,6 +19,7 @@ from parcelwatt.session import cut
 HOT = 2_000
 HOT_LIST = 10_000
 LITERAL_LIMIT = 1_000
+LOAD = 4_000_000  # candidate pairs a task
 
 CELL = ["_row", "_col"]
 
@@ -51,6 +52,17 @@ def split_hot(left: DataFrame, right: DataFrame, keys: list[str], left_id: Colum
     return spread(left, left_id, True), spread(right, right_id, False), [*keys, "_salt"]
 
 
+def by_load(left: DataFrame, right: DataFrame, keys: list[str], load: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an inner join dealt by ``keys`` to as many tasks as keep each at about ``load`` pairs of rows; the pairs are counted by key.
+
+    The bytes of the sides say nothing of the pairs they make, so sizes alone would leave few tasks with nearly all of them.
+    """
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    pairs = count(left, "_l").join(count(right, "_r"), keys).agg(F.sum(F.col("_l").cast("double") * F.col("_r"))).first()[0] or 0.0
+    tasks = math.ceil(pairs / (load or LOAD))
+    return (left.repartition(tasks, *keys), right.repartition(tasks, *keys)) if tasks > 1 else (left, right)
+
+
 def _in_cells(df: DataFrame, cells: Column) -> DataFrame:
     return df.withColumn("_cell", F.explode(cells)).withColumns({"_row": F.col("_cell.row"), "_col": F.col("_cell.col")}).drop("_cell")
 
@@ -59,21 +71,26 @@ def _own_cell(df: DataFrame, lng: str, lat: str, size: float) -> DataFrame:
     return df.withColumn("_row", geo.cell_row(F.col(lat), size)).withColumn("_col", geo.cell_col(F.col(lng), F.col("_row"), size))
 
 
-def distance_pairs(points: DataFrame, radius_m: float, where: Column | None = None) -> DataFrame:
+def distance_pairs(points: DataFrame, radius_m: float, where: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Unordered pairs (id_a < id_b) at most ``radius_m`` metres apart, with ``distance_m``.
 
     ``points``: id, lng, lat; duplicate ids are reduced to one point first. ``where`` may refer to
-    id_a and id_b. The number of result rows is the number of close pairs, by definition.
+    id_a and id_b. Columns named in ``carry`` come along from both ends, as ``<column>_a`` and ``<column>_b``. The number of
+    result rows is the number of close pairs, by definition; the number of tasks follows the counted candidates, so
+    a task holds about ``LOAD`` of them however many there are.
     """
-    one = distinct_on(points.select("id", "lng", "lat").dropna(), ["id"], [F.col("lng"), F.col("lat")])
-    left = _in_cells(one.toDF("id_a", "lng_a", "lat_a"), geo.neighbour_cells(F.col("lng_a"), F.col("lat_a"), radius_m))
-    right = _own_cell(one.toDF("id_b", "lng_b", "lat_b"), "lng_b", "lat_b", radius_m)
+    one = distinct_on(points.select("id", "lng", "lat", *carry).dropna(subset=["id", "lng", "lat"]), ["id"], [F.col("lng"), F.col("lat"), *map(F.col, carry)])
+    side = lambda s: one.toDF(*[f"{c}_{s}" for c in one.columns])
+    left = _in_cells(side("a"), geo.neighbour_cells(F.col("lng_a"), F.col("lat_a"), radius_m))
+    right = _own_cell(side("b"), "lng_b", "lat_b", radius_m)
     left, right, keys = split_hot(left, right, CELL, F.col("id_a"), F.col("id_b"))
+    left, right = by_load(left, right, keys)
     pairs = left.join(right, keys).filter(F.col("id_a") < F.col("id_b"))
     if where is not None:
         pairs = pairs.filter(where)
     distance = geo.haversine(F.col("lng_a"), F.col("lat_a"), F.col("lng_b"), F.col("lat_b"))
-    return pairs.withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m).select("id_a", "id_b", "distance_m")
+    carried = [f"{c}_{s}" for s in "ab" for c in carry]
+    return pairs.withColumn("distance_m", distance).filter(F.col("distance_m") <= radius_m).select("id_a", "id_b", "distance_m", *carried)
 
 
 def range_join(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:
