@@ -277,3 +277,39 @@ def test_null_coordinates_have_no_distance_and_no_neighbours(spark):
         geo.haversine(F.col("x"), F.col("y"), F.col("lng"), F.col("lat"))).first()[0] is None
     for limit in (1000, 0):
         assert [tuple(r) for r in spatial.knn_join(left, right, 1, literal_limit=limit).collect()] == [(1, 10, 0.0, 1)]
+
+
+def test_pairs_are_dealt_by_their_number(spark, monkeypatch):
+    """Many pairs from few bytes go to many tasks, and the steps after them too."""
+    from parcelwatt.operators import join, upsert
+
+    monkeypatch.setattr(spatial, "LOAD", 500)
+    monkeypatch.setattr(join.dealt, "__defaults__", (400,))
+    pts = cloud(150, 9)
+    pairs = spatial.distance_pairs(frame(spark, pts).withColumn("kind", F.col("id") % 2), 120, carry=("kind",))
+    got = {(r.id_a, r.id_b): (r.kind_a, r.kind_b) for r in pairs.collect()}
+    assert set(got) == {(i, j) for i in range(len(pts)) for j in range(i + 1, len(pts)) if metres(pts[i], pts[j]) <= 120}
+    assert all(v == (i % 2, j % 2) for (i, j), v in got.items())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan(pairs)
+    one_way = pairs.select(F.col("id_a").alias("source_pnu"), F.col("id_b").alias("target_pnu"), "distance_m")
+    tasks = -(-2 * len(got) // 400)
+    both = graph.mirror(one_way)
+    assert f"{tasks}), REPARTITION_BY_NUM" in plan(both) and both.count() == 2 * len(got)
+    near = graph.neighbors(both, k=2)
+    assert f"{2 * tasks}), REPARTITION_BY_NUM" in plan(near) or f"{-(-4 * len(got) // 400)}), REPARTITION_BY_NUM" in plan(near)
+    assert near.filter("rank = 1").count() == len({i for p in got for i in p})
+    merged = upsert.prefer_new(both, both.limit(3).withColumn("distance_m", F.lit(-1.0)), ["source_pnu", "target_pnu"])
+    assert "REPARTITION_BY_NUM" in plan(merged) and merged.filter("distance_m < 0").count() == 3 and merged.count() == 2 * len(got)
+
+
+def test_components_thin_pairs_in_their_tasks(spark):
+    """Two full cliques and a chain: the rows that leave a task follow its ids, not its pairs."""
+    import pandas as pd
+
+    clique = [(i, j) for i in range(60) for j in range(i + 1, 60)]
+    pdf = pd.DataFrame(clique + [(a + 100, b + 100) for a, b in clique] + [(i, i + 1) for i in range(200, 400)], columns=["u", "v"])
+    thin = pd.concat(graph._thinned(iter([pdf[:1000], pdf[1000:]]), rows=700))
+    assert len(thin) == 59 + 59 + 200
+    out = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(pdf).selectExpr("concat('n', u) AS u", "concat('n', v) AS v")).collect()}
+    assert len(out) == 321 and out["n59"] == "n0" and out["n159"] == "n100" and out["n400"] == "n200"
