@@ -313,3 +313,28 @@ def test_components_thin_pairs_in_their_tasks(spark):
     assert len(thin) == 59 + 59 + 200
     out = {r.id: r.component for r in graph.connected_components(spark.createDataFrame(pdf).selectExpr("concat('n', u) AS u", "concat('n', v) AS v")).collect()}
     assert len(out) == 321 and out["n59"] == "n0" and out["n159"] == "n100" and out["n400"] == "n200"
+
+
+def test_spread_reads_few_tables_however_many_steps(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1), 0.5) for i in range(20)] + [("0", "x", 0.24)], "source_pnu string, target_pnu string, spread_weight double")
+    out = graph.spread(edges, spark.createDataFrame([("s", "0")], "scenario string, id string"))
+    assert out._jdf.queryExecution().analyzed().toString().count("LogicalRDD") <= graph.MERGE_EVERY + 1
+    assert {r.id: r.step for r in out.collect()} == {str(i): i for i in range(21)}
+
+
+def test_searches_on_a_crowd_match_plain_relaxation(spark):
+    """Many roads a vertex, in lists of several rows; buckets narrower than a road."""
+    pts = cloud(60, 12, spread=0.002)
+    far = {(i, j): metres(pts[i], pts[j]) for i in range(60) for j in range(i + 1, 60)}
+    roads = [(i, j, d) for (i, j), d in far.items() if d <= 100 and i >= 5] + [(0, 6, 30.0)]
+    best = {(s, s): 0.0 for s in (0, 7, 59)}
+    for _ in range(60):
+        for a, b, d in roads:
+            for u, v in ((a, b), (b, a)):
+                for s in (0, 7, 59):
+                    if (s, u) in best:
+                        best[s, v] = min(best.get((s, v), 9e9), best[s, u] + d)
+    frame_ = spark.createDataFrame(roads, "source long, target long, length_m double")
+    for delta in (None, 20.0):
+        got = {(r["source"], r["vertex"]): r["cost"] for r in routes.search(frame_, spark.createDataFrame([(0,), (7,), (59,)], "source long"), delta=delta).collect()}
+        assert set(got) == set(best) and all(abs(got[k] - best[k]) < 1e-6 for k in best)
