@@ -147,3 +147,24 @@ def test_similar_names_match_brute_force_with_hot_trigrams(spark, monkeypatch):
     best = {r["name_a"]: (r["name_b"], round(r["similarity"], 9)) for r in resolve.best_similar(frame(left), frame(right)).collect()}
     ranked = {a: min((-jac(a, b), b) for _, b in right) for _, a in left}
     assert best == {a: (b, round(-j, 9)) for a, (j, b) in ranked.items() if -j >= 0.3}
+
+
+def test_names_with_a_common_word_leave_early(spark, monkeypatch):
+    """All names share a word, so all pairs pass the threshold; the best is found without making them."""
+    words = ["Customer#%09d" % (i * 7) for i in range(1, 120)] + ["ab", "Customer", "abc Customer of a very long name with many words"]
+    asked = ["Customer#%09d" % i for i in range(1, 60)] + ["ac", "Custom", "zzz"]
+    left = spark.createDataFrame([("x", n) for n in asked], "block string, name string")
+    right = spark.createDataFrame([("x", n) for n in words], "block string, name string")
+    seen = []
+    plain = resolve.similar_names
+    monkeypatch.setattr(resolve, "similar_names", lambda l, r, t: seen.append(l.count()) or plain(l, r, t))
+    got = {r.name_a: (r.name_b, r.similarity) for r in resolve.best_similar(left, right).collect()}
+
+    def grams(n):
+        return {("  " + w + " ")[i:i + 3] for w in n.lower().replace("#", " ").split() for i in range(len(w) + 1)}
+
+    for n in asked:
+        all_ = [(-len(grams(n) & grams(o)) / len(grams(n) | grams(o)), o) for o in words]
+        s, o = min(all_)
+        assert got.get(n) == ((o, -s) if -s >= 0.3 else None)
+    assert seen[0] <= 10
