@@ -120,3 +120,27 @@ def test_time_to_live_needs_a_query_that_runs_on(spark, tmp_path):
         assert not query.awaitTermination(15) and query.lastProgress is not None
     finally:
         query.stop()
+
+
+def test_keyed_state_holds_many_series_in_a_shard(spark, tmp_path):
+    src, at = str(tmp_path / "in"), lambda p: str(tmp_path / p)
+    rows = [reading(15 * i, 90 if i == 30 + s % 9 else 10 + (i + s) % 3, ts_id=s) for s in range(60) for i in range(45)]
+    for name, part in (("a", rows[1::2]), ("b", rows[::2] + [reading(-60 * 24 * 30, 1, ts_id=7), (None, "gas", T0, 3.0, "kWh")])):
+        land(spark, src, name, part)
+        written = keyed_run(spark, src, at, shards=4, late=dt.timedelta(days=20))
+    assert spark.read.format("statestore").option("stateVarName", "buffer").load(at("check")).count() <= 4
+    assert verdict_rows(keyed.verdicts(written)) == verdict_rows(ts.anomalies(spark.createDataFrame(rows, schemas.READING))) != []
+    assert [(r["ts_id"], r["value"]) for r in keyed.refused(written).collect()] == [(7, 1.0)]
+
+
+def test_time_to_live_drops_buffers_but_not_the_newest_time(spark, tmp_path):
+    src, at = str(tmp_path / "in"), lambda p: str(tmp_path / p)
+    land(spark, src, "a", [reading(15 * i, 10 + i % 4) for i in range(20)])
+    stream = open_stream(spark, src, dedup=False)
+    query = keyed.anomaly_changes(stream, at("out"), at("check"), every="1 second", keep=dt.timedelta(seconds=4), late=dt.timedelta(hours=1))
+    try:
+        assert not query.awaitTermination(25)
+    finally:
+        query.stop()
+    held = spark.read.format("statestore").option("stateVarName", "buffer").load(at("check")).collect()
+    assert [(len(r["value"]["us"]), len(r["value"]["newest"])) for r in held] == [(0, 1)]
