@@ -8,7 +8,7 @@ from __future__ import annotations
 from datetime import timedelta
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parcelwatt.operators import timeseries as ts
@@ -42,12 +42,72 @@ def resample(stream: DataFrame, resolution: str) -> DataFrame:
     return agg.select(*ts.SERIES, F.col("w.start").alias("ts"), "value", "n")
 
 
-def sliding(stream: DataFrame, length: str = "24 hours", step: str = "1 hour") -> DataFrame:
-    """Mean, population deviation and count per sliding window."""
-    agg = stream.groupBy(F.window("recorded_at", length, step).alias("w"), *ts.SERIES).agg(
-        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n")
-    )
-    return agg.select(*ts.SERIES, F.col("w.start").alias("ts"), F.col("w.end").alias("ts_end"), "mean", "std", "n")
+_WINDOW = [("ts", "timestamp"), ("ts_end", "timestamp"), ("mean", "double"), ("std", "double"), ("n", "long")]
+
+
+def _micros(spark: SparkSession, span: str) -> int:
+    return spark.range(1).select(F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {span}"))).first()[0]
+
+
+def _window_runs(rows: DataFrame, length: int, step: int, after: int, until: int) -> DataFrame:
+    """Runs of sliding windows that hold the same readings: ts_id, meter_type, first and last start, mean, std, n, in microseconds.
+
+    ``rows``: ts_id, meter_type, us, value. Windows that end after ``after`` and not after ``until``. A reading enters one window and leaves another; in
+    between nothing changes, so the windows are computed at these two starts only. Series are cut into blocks of starts, which take the readings
+    their windows need.
+    """
+    us, block = F.col("us"), step * -(-32 * length // step)
+    on_step = lambda v: F.floor(v / F.lit(step)) * step
+    # first and last start of the windows that hold a reading, within those asked for
+    enter = F.greatest(on_step(us - length) + step, F.lit((after - length) // step * step + step))
+    last = F.least(on_step(us), F.lit((until - length) // step * step))
+    held = rows.select(*ts.SERIES, "us", "value", enter.alias("_in"), last.alias("_last")).filter("_in <= _last")
+    held = held.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_in") / F.lit(block)), F.floor(F.col("_last") / F.lit(block)))))
+    key, start = [*ts.SERIES, "_block"], F.col("_block") * block
+    marks = held.select(*key, F.explode(F.array(F.greatest("_in", start), F.col("_last") + step)).alias("us")).filter(us < start + block).distinct()
+    both = held.select(*key, "us", "value", F.lit(False).alias("_mark")).unionByName(marks.select(*key, "us", F.lit(None).cast("double").alias("value"), F.lit(True).alias("_mark")))
+    seen = Window.partitionBy(*key).orderBy("us").rangeBetween(0, length - 1)
+    runs = both.withColumns({"mean": F.avg("value").over(seen), "std": F.stddev_pop("value").over(seen), "n": F.count(F.when(~F.col("_mark"), 1)).over(seen)}).filter("_mark")
+    following = F.lead("us").over(Window.partitionBy(*key).orderBy("us"))
+    latest_start = F.least(F.coalesce(following, start + block) - step, F.lit((until - length) // step * step))
+    return runs.select(*ts.SERIES, F.col("us").alias("first"), latest_start.alias("last"), "mean", "std", "n").filter("n > 0 AND first <= last")
+
+
+def sliding(stream: DataFrame, path: str, history_path: str, checkpoint: str, length: str = "24 hours", step: str = "1 hour", late: str = LATE) -> StreamingQuery:
+    """Mean, population deviation and count per sliding window that has closed, as Parquet files: ts_id, meter_type, ts, ts_end, mean, std, n.
+
+    A window closes ``late`` behind the newest reading; a reading counts in those still open. Readings are kept once, by day under
+    ``history_path``, and not once for each window that holds them; a batch reads the days of the windows it closes. A batch
+    that is run again replaces what it wrote.
+    """
+    spark = stream.sparkSession
+    length_us, step_us, late_us = (_micros(spark, v) for v in (length, step, late))
+
+    def step_of(batch: DataFrame, number: int) -> None:
+        spark, mine = batch.sparkSession, f"batch={number}"
+        earlier = lambda folder: (df := _read_or_none(spark, folder)) and df.filter(F.col("batch") < number)
+        rows = batch.select(*ts.SERIES, F.unix_micros(F.col("recorded_at").cast("timestamp")).alias("us"), F.col("value").cast("double").alias("value")).filter("us IS NOT NULL")
+        rows.withColumn("day", F.floor(F.col("us") / F.lit(86_400_000_000))).write.mode("overwrite").partitionBy("day").parquet(f"{history_path}/readings/{mine}")
+        seen = earlier(f"{history_path}/newest")
+        before = seen.agg(F.max("us")).first()[0] if seen is not None else None
+        if before is None:
+            first, newest = rows.agg(F.min("us"), F.max("us")).first()
+        else:
+            newest = max(before, rows.agg(F.max("us")).first()[0] or before)
+        if newest is None:
+            batch.limit(0).select(*ts.SERIES, *[F.lit(None).cast(t).alias(c) for c, t in _WINDOW]).write.mode("overwrite").parquet(f"{path}/{mine}")
+            return
+        after = before - late_us if before is not None else first - 1
+        until = newest - late_us
+        held = spark.read.option("basePath", f"{history_path}/readings").parquet(f"{history_path}/readings")
+        days = F.col("day").between((after - length_us) // 86_400_000_000, until // 86_400_000_000)
+        runs = _window_runs(held.filter(days & (F.col("batch") <= number)), length_us, step_us, after, until)
+        windows = runs.withColumn("us", F.explode(F.sequence("first", "last", F.lit(step_us).cast("long"))))
+        out = windows.select(*ts.SERIES, F.timestamp_micros("us").alias("ts"), F.timestamp_micros(F.col("us") + length_us).alias("ts_end"), "mean", "std", "n")
+        out.write.mode("overwrite").parquet(f"{path}/{mine}")
+        spark.range(1).select(F.lit(newest).alias("us")).coalesce(1).write.mode("overwrite").parquet(f"{history_path}/newest/{mine}")
+
+    return stream.writeStream.foreachBatch(step_of).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(stream: DataFrame) -> DataFrame:

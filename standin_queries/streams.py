@@ -67,8 +67,8 @@ def stream_weekly(spark, sf):
  SELECT ts_id, meter_type, {TS('CAST(ts AS TIMESTAMP)')} AS ts, {R('avg(value)', 4)} AS mean, {R('stddev_pop(value)', 4)} AS std, count(*) AS n FROM w WHERE w.ts + INTERVAL 24 HOURS <= {_OPEN} GROUP BY ts_id, meter_type, w.ts""")
 def stream_sliding(spark, sf):
     at = _folder(spark, "sliding")
-    _run(S.to_files(S.sliding(_stream(spark, sf, dedup=False)), at("out"), at("check")))
-    return rounded(spark.read.parquet(at("out")).drop("ts_end"), 4, "mean", "std")
+    _run(S.sliding(_stream(spark, sf, dedup=False), at("out"), at("history"), at("check")))
+    return rounded(spark.read.parquet(at("out")).drop("ts_end", "batch"), 4, "mean", "std")
 
 
 @query("stream_latest", f"""WITH {READING} SELECT ts_id, meter_type, {TS('recorded_at')} AS recorded_at, value FROM reading QUALIFY row_number() OVER (PARTITION BY ts_id, meter_type ORDER BY recorded_at DESC, value DESC) = 1""")

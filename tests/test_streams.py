@@ -144,3 +144,21 @@ def test_time_to_live_drops_buffers_but_not_the_newest_time(spark, tmp_path):
         query.stop()
     held = spark.read.format("statestore").option("stateVarName", "buffer").load(at("check")).collect()
     assert [(len(r["value"]["us"]), len(r["value"]["newest"])) for r in held] == [(0, 1)]
+
+
+@pytest.mark.parametrize("length, step", [("24 hours", "1 hour"), ("100 minutes", "30 minutes"), ("1 hour", "1 hour")])
+def test_sliding_windows_over_batches_keep_each_reading_once(spark, tmp_path, length, step):
+    src, at = str(tmp_path / "in"), lambda p: str(tmp_path / p)
+    rows = [reading(37 * i * (1 + i % 2), 1e6 + i % 7, ts_id=1 + i % 3) for i in range(180)] + [reading(60 * 24 * 40, 5), reading(60 * 24 * 40, 5)]
+    rows[11] = rows[11][:3] + (None,) + rows[11][4:]
+    rows.sort(key=lambda r: r[2])
+    # the second landing holds readings of windows that are still open
+    for name, part in (("a", rows[:50] + rows[50:60:2]), ("b", rows[51:60:2] + rows[60:120]), ("c", rows[120:])):
+        land(spark, src, name, part)
+        S.sliding(open_stream(spark, src, dedup=False), at("out"), at("history"), at("check"), length, step).awaitTermination()
+    got, newest = spark.read.parquet(at("out")), max(r[2] for r in rows)
+    want = spark.createDataFrame(rows, schemas.READING).groupBy(F.window(F.col("recorded_at").cast("timestamp"), length, step).alias("w"), *ts.SERIES).agg(
+        F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("n")).filter(F.col("w.end") <= F.lit(newest) - F.expr(f"INTERVAL {S.LATE}"))
+    columns = [*ts.SERIES, "ts", "ts_end", "n", F.round("mean", 6), F.round("std", 6)]
+    assert sorted(got.select(columns).collect(), key=str) == sorted(want.withColumns({"ts": F.col("w.start"), "ts_end": F.col("w.end")}).select(columns).collect(), key=str) != []
+    assert spark.read.parquet(at("history") + "/readings").count() == len(rows)
