@@ -470,3 +470,28 @@ def test_pii_running_and_blocks(spark):  # noqa: F811
         assert r["sums"] == [sum(r["v"][:i]) for i in range(len(r["v"]))]
         assert r["tops"] == [max([0, *r["v"][:i]]) for i in range(len(r["v"]))]
         assert [x for b in r["blocks"] for x in b] == r["v"]
+
+
+def test_a_training_step_follows_the_gradient_and_words_are_hashed_once(monkeypatch):
+    rng, p = np.random.default_rng(5), pseudolm.initial()
+    y, x = rng.integers(0, pseudolm.VOCABULARY, 300) // 8, rng.integers(0, 40, (300, 4))
+    x[:, 0] = pseudolm.EDGE
+    squares = {k: np.full(s, 1e-6, np.float32) for k, s in pseudolm.SHAPES.items()}
+    loss = lambda q: -pseudolm.log_probabilities({k: v.astype(np.float64) if k != "word_w" else v for k, v in q.items()}, y, x).mean()
+    before = {k: v.copy() for k, v in p.items()}
+    pseudolm.fit_step(p, squares, y, x, 0.1)
+    for name, at in (("word_b", (y[0] // 64, y[0] % 64)), ("class_b", (3,)), ("bias", (2,)), ("inputs", (0, pseudolm.EDGE, 5)), ("inputs", (1, x[7, 1], 3))):
+        step = {k: v.copy() for k, v in before.items()}
+        step[name][at] += 1e-2
+        up = loss(step)
+        step[name][at] -= 2e-2
+        slope = (up - loss(step)) / 2e-2
+        assert squares[name][at] == pytest.approx(1e-6 + slope * slope, rel=0.05, abs=2e-8)
+        assert before[name][at] - p[name][at] == pytest.approx(0.1 * slope / np.sqrt(1e-6 + slope * slope), rel=0.05, abs=2e-3)
+    unmet = np.setdiff1d(np.arange(pseudolm.CLASSES), y // 64)
+    assert len(unmet) and np.array_equal(p["word_w"][unmet], before["word_w"][unmet])
+    calls, crc32 = [], zlib.crc32
+    monkeypatch.setattr(pseudolm.zlib, "crc32", lambda b: calls.append(b) or crc32(b))
+    vocabulary, text = pseudolm.Vocabulary(["a", "b"]), "a Rare\x0bWort b\x1cc rare\u00a0x  rare\ud800 \n" * 50
+    assert vocabulary.text_ids(text).tolist() == vocabulary.ids(pseudolm.split_words(text)).tolist()
+    assert len(calls) == len(set(calls)) == 5
