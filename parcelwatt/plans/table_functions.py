@@ -30,7 +30,7 @@ def register_annual_metered(spark: SparkSession, daily: DataFrame, monitored: Da
           FROM (SELECT ts_id, {fuels}, sum(CASE WHEN meter_type <> 'water' THEN total_kwh ELSE 0D END) AS total,
                        count(DISTINCT meter_type) AS meter_count, avg(coverage_pct) AS avg_coverage
                   FROM {name}_daily
-                 WHERE day >= make_date({name}.of_year, 1, 1) AND day < make_date({name}.of_year + 1, 1, 1)
+                 WHERE year(day) = {name}.of_year AND day >= make_date({name}.of_year, 1, 1) AND day < make_date({name}.of_year + 1, 1, 1)
                    AND total_kwh IS NOT NULL AND (coverage_pct IS NULL OR coverage_pct >= {name}.least_coverage)
                  GROUP BY ts_id) t
           JOIN {name}_points p ON p.ts_id = t.ts_id
