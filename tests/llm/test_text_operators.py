@@ -495,3 +495,37 @@ def test_a_training_step_follows_the_gradient_and_words_are_hashed_once(monkeypa
     vocabulary, text = pseudolm.Vocabulary(["a", "b"]), "a Rare\x0bWort b\x1cc rare\u00a0x  rare\ud800 \n" * 50
     assert vocabulary.text_ids(text).tolist() == vocabulary.ids(pseudolm.split_words(text)).tolist()
     assert len(calls) == len(set(calls)) == 5
+
+
+def test_texts_encoded_once_train_and_score_alike(spark, docs, monkeypatch):  # noqa: F811
+    edge = [("",), (None,), (" \n",), ("Rare x ÄB rare Äb\x0bc",), ("solo",), ("solo",)]
+    frame = docs.limit(80).select("text").union(spark.createDataFrame(edge, "text string")).coalesce(1).localCheckpoint()
+    blocks = pseudolm.encoded(frame).localCheckpoint()
+    counts = pseudolm.word_counts(frame).localCheckpoint()
+    plain = {r["word"]: r["n"] for r in counts.collect()}
+    assert {r["word"]: r["n"] for r in pseudolm.word_counts(blocks).collect()} == plain
+    split, calls = pseudolm._split_run, []
+    monkeypatch.setattr(pseudolm, "_split_run", lambda texts: calls.append(len(texts)) or split(texts))
+    runs, texts = blocks.toPandas(), [r["text"] or "" for r in frame.collect()]
+    words = [w for t in texts for w in t.lower().encode().split()]
+    vocabulary = pseudolm.Vocabulary(sorted(plain)[:100])
+    met = list(pseudolm._numbered_runs(runs, vocabulary))
+    assert not calls and np.concatenate([ids for ids, _, _ in met]).tolist() == vocabulary.of(words).tolist()
+    (ids, sizes, firsts), = met
+    begin = np.cumsum(sizes) - sizes
+    for turn in range(3):
+        at = pseudolm._run_targets(sizes, firsts, turn, 3)
+        one = [(pseudolm.targets(t, n, turn, 3), a) for t, n, a in zip(texts, sizes.tolist(), begin.tolist())]
+        assert at.tolist() == [a + i for own, a in one for i in own.tolist()]
+        around = [pseudolm.windows(ids[a:a + n], own) for (own, a), n in zip(one, sizes.tolist())]
+        assert np.array_equal(pseudolm._run_windows(ids, sizes, at), np.concatenate(around))
+    (_, p), (_, q) = pseudolm.fit(frame, counts=counts), pseudolm.fit(blocks, counts=counts)
+    assert all(np.array_equal(p[k], q[k]) for k in p)
+    model = (vocabulary, p)
+    found = []
+    for heavy in (0, 5, 1 << 16):  # shares told to the tasks or joined
+        monkeypatch.setattr(pseudolm, "HEAVY", heavy)
+        found.append({r["text"]: (r["n_words"], r["log_prob"]) for r in pseudolm.score(frame, model, counts, blocks=blocks).collect()})
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(other[t] == pytest.approx(found[0][t], rel=1e-9) for t in other)
