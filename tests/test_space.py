@@ -338,3 +338,43 @@ def test_searches_on_a_crowd_match_plain_relaxation(spark):
     for delta in (None, 20.0):
         got = {(r["source"], r["vertex"]): r["cost"] for r in routes.search(frame_, spark.createDataFrame([(0,), (7,), (59,)], "source long"), delta=delta).collect()}
         assert set(got) == set(best) and all(abs(got[k] - best[k]) < 1e-6 for k in best)
+
+
+def test_lists_hold_every_row_of_their_task(monkeypatch):
+    """Keys of several types and more kinds than a digit holds, in batches, with lists of bounded length."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(routes, "LONGEST", 50)
+    rng = np.random.default_rng(3)
+    n = 150_000
+    vertex, mask, to = rng.integers(-90_000, 90_000, n), rng.integers(1, 4, n), np.arange(n)
+    vertex[:200] = 7
+    for keys in (pa.array(vertex), pa.array([f"p{v}" for v in vertex])):
+        batches = [pa.RecordBatch.from_arrays([c.slice(i, 9_000) for c in (keys, pa.array(mask), pa.array(to))], names=["vertex", "_mask", "to"]) for i in range(0, n, 9_000)]
+        out = pa.Table.from_batches(list(routes._gather(iter(batches), ["vertex", "_mask"], ["to"], 100_000)))
+        got = [(v, m, t) for v, m, ts in zip(out["vertex"].to_pylist(), out["_mask"].to_pylist(), out["to"].to_pylist()) for t in ts]
+        assert sorted(got, key=lambda r: r[2]) == list(zip(keys.to_pylist(), mask.tolist(), to.tolist()))
+        assert out.num_rows < n and max(map(len, out["to"].to_pylist())) <= 50
+
+
+def test_spread_leaves_its_edges_where_they_are(spark, monkeypatch):
+    """However many edges, none is shuffled: they are brought into lists by the tasks that make them, under any number of winds."""
+    held = []
+    gathered = routes.gathered
+    monkeypatch.setattr(graph, "gathered", lambda *a: held.append(gathered(*a)) or held[-1])
+    pts = cloud(60, 5, spread=0.003)
+    at = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(pts)], "id long, lng double, lat double")
+    kinds = spark.createDataFrame([(i, ("masonry", "RC")[i % 2]) for i in range(60)], "id long, structure_class string")
+    edges = graph.build_adjacency(at, kinds, 150.0)
+    winds = [(270.0, 8.0), (90.0, 3.0), (0.0, 0.0), (10.0, None), (None, 5.0)]
+    seeds = spark.createDataFrame([(f"s{i}", i % 60, *winds[i % 5]) for i in range(8)], "scenario string, id long, wind_direction double, wind_speed double")
+    told = sorted(map(tuple, graph.spread(edges, seeds, at).collect()))
+    monkeypatch.setattr(graph, "WINDS", 0)
+    assert told == sorted(map(tuple, graph.spread(edges, seeds, at).collect())) and max(r[1] for r in told) > 2
+    monkeypatch.setattr(graph, "SMALL_ROWS", 2)
+    monkeypatch.setattr(graph, "PASSES", 100)
+    assert told == sorted(map(tuple, graph.spread(edges, seeds, at).collect()))
+    calm = graph.spread(edges, seeds.select("scenario", "id"))
+    assert {r.scenario for r in calm.collect()} == {f"s{i}" for i in range(8)}
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in held]
+    assert len(plans) == 4 and all("hashpartitioning(vertex" not in p and "hashpartitioning(source" not in p and "hashpartitioning(to" not in p for p in plans)
