@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from parcelwatt.functions import geo, hazard
 from parcelwatt.operators.join import SMALL_ROWS, dealt, distinct_on, small, top_k
-from parcelwatt.operators.routes import bounded_search, gathered, laid_out, search
+from parcelwatt.operators.routes import GATHER, bounded_search, gathered, laid_out, search
 from parcelwatt.session import cut
 
 
@@ -125,14 +127,67 @@ def build_adjacency(points: DataFrame, attrs: DataFrame, radius_m: float = 25.0,
     )
 
 
+def _nearest(rows: pa.Table, k: int) -> pa.Table:
+    """The rows of every pnu that may hold one of its ``k`` nearest neighbours: up to some distance all of them, with ``k`` different neighbours or whole."""
+    code = lambda c: rows[c].combine_chunks().dictionary_encode(null_encoding="encode")
+    owner, other = code("pnu"), code("neighbor_pnu")
+    metres = np.asarray(rows["distance_m"].to_numpy(), np.float64) + 0.0
+    # the bits of a distance that is not negative are in the order of its value
+    key = owner.indices.to_numpy().astype(np.uint64) << np.uint64(40) | metres.view(np.uint64) >> np.uint64(23)
+    order = np.argsort(key)
+    key = key[order]
+    group = (key >> np.uint64(40)).astype(np.int64)
+    starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    ends, others = np.append(starts[1:], len(key)), other.indices.to_numpy()[order].astype(np.int64)
+    sizes = ends - starts
+    place, width = np.repeat(np.arange(len(starts)), sizes), np.full(len(starts), 4 * k)
+    while True:
+        last = starts + np.minimum(width, sizes) - 1
+        kept = np.flatnonzero(key <= np.repeat(key[last], sizes))
+        met = np.unique(place[kept] * len(other.dictionary) + others[kept]) // len(other.dictionary)
+        short = (np.bincount(met, minlength=len(starts)) < k) & (width < sizes)
+        if not short.any():
+            return rows.take(pa.array(order[kept]))
+        width[short] *= 4
+
+
+def _near(batches, k: int, together: int):
+    """Edges (two ends and a distance) both ways, each task's own nearest only."""
+    def sent(held):
+        ends = pa.Table.from_batches(held)
+        names = ["pnu", "neighbor_pnu", "distance_m"]
+        both = pa.concat_tables([ends.rename_columns(names), ends.select([1, 0, 2]).rename_columns(names)])
+        return _nearest(both, k).to_batches()
+
+    held, waiting = [], 0
+    for batch in batches:
+        held.append(batch)
+        waiting += batch.num_rows
+        if waiting >= together:
+            yield from sent(held)
+            held, waiting = [], 0
+    if waiting:
+        yield from sent(held)
+
+
 def neighbors(edges: DataFrame, ids: DataFrame | None = None, k: int = 50) -> DataFrame:
-    """The ``k`` nearest neighbours of every vertex, whichever way its edges are stored."""
+    """The ``k`` nearest neighbours of every vertex, whichever way its edges are stored.
+
+    Without ``ids``, a task sends on only the edges that can be among the nearest of their vertex, so what is shuffled follows the vertices; where a
+    distance is missing, negative or not a number it sends all of them.
+    """
     way = lambda s, t: F.struct(F.col(s).alias("pnu"), F.col(t).alias("neighbor_pnu"))
     both = edges.select(F.explode(F.array(way("source_pnu", "target_pnu"), way("target_pnu", "source_pnu"))).alias("_e"), "distance_m").select("_e.*", "distance_m")
     if ids is not None:
         both = both.join(ids.select("pnu").distinct(), "pnu", "left_semi")
-    rows = 2 * edges.count() if ids is None else both.count()
-    one = dealt(both, rows, ["pnu", "neighbor_pnu"]).groupBy("pnu", "neighbor_pnu").agg(F.min("distance_m").alias("distance_m"))
+    plain = F.when((F.col("distance_m") >= 0) & ~F.isnan("distance_m"), 1)
+    counted, usual = (edges if ids is None else both).agg(F.count(F.lit(1)), F.count(plain)).first()
+    near = both
+    if ids is None and usual == counted and both.schema["distance_m"].dataType.typeName() == "double":
+        ends = [F.col(c).cast(both.schema["pnu"].dataType) for c in ("source_pnu", "target_pnu")]
+        near = edges.select(*ends, "distance_m").mapInArrow(partial(_near, k=k, together=GATHER), both.schema)
+    rows = 2 * counted if ids is None else counted
+    one = dealt(near, rows, ["pnu", "neighbor_pnu"]).groupBy("pnu", "neighbor_pnu").agg(F.min("distance_m").alias("distance_m"))
     return top_k(one, ["pnu"], [F.col("distance_m"), F.col("neighbor_pnu")], k, "rank")
 
 

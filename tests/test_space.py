@@ -378,3 +378,33 @@ def test_spread_leaves_its_edges_where_they_are(spark, monkeypatch):
     assert {r.scenario for r in calm.collect()} == {f"s{i}" for i in range(8)}
     plans = [df._jdf.queryExecution().executedPlan().toString() for df in held]
     assert len(plans) == 4 and all("hashpartitioning(vertex" not in p and "hashpartitioning(source" not in p and "hashpartitioning(to" not in p for p in plans)
+
+
+def test_neighbors_send_on_few_edges(spark, monkeypatch):
+    """Edges of one crowd, some stored many times and at several distances: the tasks keep few of them, and the nearest are those of all edges."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b), float(d)) for a, b, d in zip(rng.integers(0, 40, 6000), rng.integers(40, 160, 6000), rng.uniform(0, 90, 6000).round(1))]
+    edges += [(0, 41, 0.0)] * 500 + [(0, 41, 0.05 + i / 1e4) for i in range(300)] + [(0, 42, -0.0)]
+
+    def nearest(rows, k):
+        best = {}
+        for a, b, d in rows:
+            for u, v in ((a, b), (b, a)):
+                best.setdefault(u, {}).setdefault(v, []).append(d)
+        return {(u, v, min(ds, default=None)) for u, of in best.items() for v, ds in sorted(((v, [d for d in ds if d is not None]) for v, ds in of.items()), key=lambda e: (min(e[1], default=-1.0), e[0]))[:k]}
+
+    table = pa.table({"pnu": [e[0] for e in edges], "neighbor_pnu": [e[1] for e in edges], "distance_m": [e[2] for e in edges]})
+    assert graph._nearest(table, 3).num_rows < 0.5 * len(edges)
+    schema = "source_pnu long, target_pnu long, distance_m double"
+    whole = spark.createDataFrame(edges, schema).repartition(3)
+    got = graph.neighbors(whole, k=3)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[:3] for r in got.collect()} == nearest(edges, 3)
+    some = graph.neighbors(whole, spark.createDataFrame([(0,), (50,)], "pnu long"), 4)
+    assert {tuple(r)[:3] for r in some.collect()} == {r for r in nearest(edges, 4) if r[0] in (0, 50)}
+    named = graph.neighbors(whole.selectExpr("concat('p', source_pnu) AS source_pnu", "concat('p', target_pnu) AS target_pnu", "distance_m"), k=1)
+    assert named.count() == len(nearest(edges, 1))
+    odd = edges[:50] + [(1, 60, None), (1, 60, 5.0), (2, 61, None), (3, 62, float("nan"))]
+    assert {(r.pnu, r.neighbor_pnu) for r in graph.neighbors(spark.createDataFrame(odd, schema), k=2).collect()} >= {(2, 61), (61, 2), (62, 3)}
