@@ -408,3 +408,23 @@ def test_neighbors_send_on_few_edges(spark, monkeypatch):
     assert named.count() == len(nearest(edges, 1))
     odd = edges[:50] + [(1, 60, None), (1, 60, 5.0), (2, 61, None), (3, 62, float("nan"))]
     assert {(r.pnu, r.neighbor_pnu) for r in graph.neighbors(spark.createDataFrame(odd, schema), k=2).collect()} >= {(2, 61), (61, 2), (62, 3)}
+
+
+def test_mirror_moves_an_edge_once(spark, rows, monkeypatch):
+    """Stored edges both ways, repeated, from a vertex to itself and without an end; each is a row of the shuffle once."""
+    from pyspark.sql import Observation
+    from parcelwatt.operators import join
+
+    moved = []
+    monkeypatch.setattr(graph, "dealt", lambda df, *a: moved.append((df, Observation())) or join.dealt(df.observe(moved[-1][1], F.count(F.lit(1)).alias("n")), *a))
+    stored = [("a", "b", 1.0, None), ("a", "b", 1.0, "x"), ("b", "a", 2.0, "y"), ("c", "a", 3.0, "z"), ("c", "c", 4.0, "c"), ("d", None, 5.0, "n"), (None, "e", 6.0, "m"), (None, None, 7.0, "o"), ("e", "f", None, "p"), ("e", "f", 0.0, "q")]
+    best = {}
+    for s, t, *v in stored:
+        for key, turned in (((s, t), 0), ((t, s), 1)):
+            own = (turned, *[(e is not None, e or 0) for e in v])
+            if key not in best or own < best[key][0]:
+                best[key] = own, v
+    out = graph.mirror(spark.createDataFrame(stored, "source_pnu string, target_pnu string, distance_m double, kind string"))
+    assert out.columns == ["source_pnu", "target_pnu", "distance_m", "kind"]
+    assert rows(out) == sorted(((*k, *v) for k, (_, v) in best.items()), key=lambda t: tuple((v is None, str(v)) for v in t))
+    assert moved[0][1].get["n"] == len(stored)
