@@ -168,3 +168,23 @@ def test_names_with_a_common_word_leave_early(spark, monkeypatch):
         s, o = min(all_)
         assert got.get(n) == ((o, -s) if -s >= 0.3 else None)
     assert seen[0] <= 10
+
+
+def test_names_are_split_into_trigrams_once(spark, monkeypatch):
+    """Two blocks with names in common and characters of four bytes: each side is split once, the best name is that of the own block, and nothing is asked of the plain search once all names have left."""
+    split, late = [], []
+    plain = resolve.trigrams
+    monkeypatch.setattr(resolve, "trigrams", lambda c: split.append(1) or plain(c))
+    monkeypatch.setattr(resolve, "similar_names", lambda *a: late.append(a))
+    words = [("x", "Customer#%09d" % (i * 7)) for i in range(1, 60)] + [("y", "Customer#%09d" % (i * 7 + 1)) for i in range(1, 60)] + [("y", "가나다라마바사아자𠀀𠀁")]
+    asked = [("x", "Customer#%09d" % i) for i in range(101, 140)] + [("y", "가나다라마바사아자𠀀𠀂"), ("y", "Customer#%09d" % 120)]
+    frame = lambda rows_: spark.createDataFrame(rows_, "block string, name string")
+    got = {(r.block, r.name_a): (r.name_b, r.similarity) for r in resolve.best_similar(frame(asked), frame(words)).collect()}
+
+    def grams(n):
+        return {("  " + w + " ")[i:i + 3] for w in n.lower().replace("#", " ").split() for i in range(len(w) + 1)}
+
+    for block, n in asked:
+        s, o = min((-len(grams(n) & grams(o)) / len(grams(n) | grams(o)), o) for b, o in words if b == block)
+        assert got[block, n] == (o, -s)
+    assert len(split) == 2 and not late
