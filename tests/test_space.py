@@ -428,3 +428,14 @@ def test_mirror_moves_an_edge_once(spark, rows, monkeypatch):
     assert out.columns == ["source_pnu", "target_pnu", "distance_m", "kind"]
     assert rows(out) == sorted(((*k, *v) for k, (_, v) in best.items()), key=lambda t: tuple((v is None, str(v)) for v in t))
     assert moved[0][1].get["n"] == len(stored)
+
+
+def test_roads_stay_in_their_tasks(spark, monkeypatch):
+    """Repeated roads of other lengths, loops and roads without a length: the lists are made without a shuffle and the cheapest ways are found."""
+    held = []
+    gathered = routes.gathered
+    monkeypatch.setattr(routes, "gathered", lambda *a: held.append(gathered(*a)) or held[-1])
+    roads = [(i, i + 1, 3.0) for i in range(6)] + [(1, 0, 1.0), (2, 1, 2.0), (1, 2, 2.5), (3, 3, 0.1), (0, 6, None), (4, 2, 9.0)]
+    found = routes.search(spark.createDataFrame(roads, "source long, target long, length_m double").repartition(4), spark.createDataFrame([(0,)], "source long"))
+    assert {r.vertex: (r.cost, r.hops, r.pred) for r in found.collect()} == {0: (0.0, 0, None), 1: (1.0, 1, 0), 2: (3.0, 2, 1), 3: (6.0, 3, 2), 4: (9.0, 4, 3), 5: (12.0, 5, 4), 6: (15.0, 6, 5)}
+    assert "hashpartitioning" not in held[0]._jdf.queryExecution().executedPlan().toString()
